@@ -56,9 +56,10 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it is a written table of at most so many (short) rows; else unchanged, and the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, megabytes: float = 8) -> DataFrame:
+    """df, a written table, with a broadcast hint if its files are no larger than that; else unchanged, and the join shuffles."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= megabytes * 1e6 else df
 
 
 def crc_mod(doc_id: Column, mod: int) -> Column:

@@ -25,8 +25,6 @@ ROCKSDB = {
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 STATE_SCHEMA = "digest binary, keep struct<id:bigint,file:string,row:bigint>, n bigint, batch bigint"
-#: Digests (about 60 bytes each) up to which the byte check broadcasts them.
-BROADCAST_DIGESTS = 500_000
 
 
 def _keyed(df: DataFrame, digest_bytes: int) -> DataFrame:
@@ -71,10 +69,10 @@ def dedup_state(spark: SparkSession, path: str, digest_bytes: int = 32, batch_by
 
 def classes(spark: SparkSession, path: str, digest_bytes: int = 32, batch_bytes: int = 64 << 30) -> DataFrame:
     """One row for each row of the Parquet files in path: file, row, doc_id, keep_id, group_size, kept, text_sha256."""
-    hits = dedup_state(spark, path, digest_bytes, batch_bytes).filter("n > 1")
+    hits = put(dedup_state(spark, path, digest_bytes, batch_bytes).filter("n > 1"), "dedup-hits")
     rows = _keyed(spark.read.parquet(path), digest_bytes)
     # Full bytes of every hit; copies collapse before the shuffle, and a class comes out as one row for each text.
-    texts = rows.join(small(hits.select("digest"), BROADCAST_DIGESTS), "digest", "left_semi").groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
+    texts = rows.join(small(hits.select("digest")), "digest", "left_semi").groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
     split = put(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest"), "dedup-collisions")
     narrow = rows.drop("norm")
     if not split.isEmpty():
