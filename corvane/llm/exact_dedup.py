@@ -22,6 +22,7 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition of the state reserves some MB of disk
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 STATE_SCHEMA = "digest binary, keep struct<id:bigint,file:string,row:bigint>, n bigint, batch bigint"
