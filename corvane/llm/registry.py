@@ -1,7 +1,7 @@
 """Every query of this package, and its SQL where SQL can express it."""
 
-from corvane.llm import exact_dedup, line_dedup, mixing
+from corvane.llm import exact_dedup, line_dedup, mixing, packing, token_files
 
-MODULES = (mixing, line_dedup, exact_dedup)
+MODULES = (mixing, packing, line_dedup, token_files, exact_dedup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
