@@ -1,7 +1,7 @@
 """Every query of this package, and its SQL where SQL can express it."""
 
-from corvane.llm import exact_dedup, line_dedup, media, mixing, packing, token_counts, token_files
+from corvane.llm import exact_dedup, line_dedup, media, mixing, packing, token_counts, token_files, toxicity
 
-MODULES = (mixing, packing, line_dedup, token_files, media, exact_dedup, token_counts)
+MODULES = (mixing, packing, line_dedup, toxicity, token_files, media, exact_dedup, token_counts)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
