@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-A bounded sample of labelled documents of each class (EXAMPLES, drawn by hash) are the examples. Terms are the words whose
-share of toxic and clean examples differs beyond chance; their document frequencies are counted over all documents. A
-document's nearest examples are found exactly with a block-max inverted index: lists are walked in step, and blocks whose
+A bounded sample of labelled documents of each class (EXAMPLES, drawn by hash) are the examples. Terms are the words and word
+beginnings (STEMS) whose share of toxic and clean examples differs beyond chance; their document frequencies are counted over all documents. A
+document's other words are one more term, with the least idf, so that a term weighs less in a long text. Its nearest examples are found exactly with a block-max inverted index: lists are walked in step, and blocks whose
 best possible cosine can't reach the k-th best so far are skipped. The examples vote by closeness. Leaving each example out
 in turn calibrates the votes: a score is the share of toxic documents, at the labels' true class sizes, among examples
 with such votes.
@@ -27,23 +27,52 @@ from corvane.llm.common import crc_mod, put, table
 
 #: Examples of each class, terms, neighbours.
 EXAMPLES, TERMS, NEIGHBOURS = 2000, 2048, 15
-#: A term's least number of examples, and least log-likelihood ratio of its being spread unevenly (20: one in 130,000 by chance).
-LEAST_DF, LEAST_G = 5, 20.0
+#: A term's least number of examples, and least log-likelihood ratio of its being spread unevenly (25: one in two million by chance).
+LEAST_DF, LEAST_G = 5, 25.0
+#: Terms looked at for each that may be picked; most have a shorter or longer form that tells more.
+CANDIDATES = 8
+#: Bytes of a word's beginnings that are terms too: what is alike in inflected and compound words.
+STEMS = (4, 5, 6, 7)
+#: The term that stands for all words that aren't terms; no hash is likely to be 0.
+OTHER = 0
 BLOCK = 64
 BINS = 10
 KEPT_ANSWERS = 50_000
 
 
 def term_counts(texts: list[str | None]) -> Iterator[tuple]:
-    """For each text its distinct terms (signed 64-bit hashes, ascending) and how often each occurs."""
+    """For each text its distinct terms (signed 64-bit hashes, ascending), how often each occurs, and the next shorter term of each, or 0."""
     import numpy as np
 
-    from corvane.llm.wordhash import NOT_ALNUM, words
+    from corvane.llm.wordhash import NOT_ALNUM, features
 
-    for hashes, bounds in words(texts, NOT_ALNUM):
-        signed = hashes.view(np.int64)
+    for _, n, hashes, text, shorter in features(texts, NOT_ALNUM, STEMS):
+        order = np.argsort(text, kind="stable")
+        signed, above = hashes.view(np.int64)[order], shorter.view(np.int64)[order]
+        bounds = np.searchsorted(text[order], np.arange(n + 1))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            yield np.unique(signed[a:b], return_counts=True)
+            terms, at, counts = np.unique(signed[a:b], return_index=True, return_counts=True)
+            yield terms, counts, above[a:b][at]
+
+
+def distinct_terms(told: Iterable[tuple[int, float, int]], most: int) -> list[int]:
+    """Of terms (term, weight, next shorter term), the weightiest first, those of which no shorter or longer form was taken before."""
+    rows = sorted(told, key=lambda r: (-r[1], r[0]))
+    shorter, taken, under = {t: s for t, _, s in rows}, set(), set()
+    for term, _, _ in rows:
+        line, at = [], shorter[term]
+        while at:
+            line.append(at)
+            at = shorter.get(at, 0)
+        if len(taken) < most and term not in under and taken.isdisjoint(line):
+            taken.add(term)
+            under.update(line)
+    return sorted(taken)
+
+
+def rounded(n: int) -> int:
+    """n to about a tenth: texts of like length then have like vectors, and answers can be kept."""
+    return round(2 ** (round(4 * math.log2(n)) / 4)) if n > 0 else 0
 
 
 class BlockMaxIndex:
@@ -128,7 +157,9 @@ class Model:
             level = self.rates[b] = max(level, self.rates[b])
 
     def vector(self, counts: Iterable[tuple[int, int]]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts if t in self.idf}
+        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts if n and t in self.idf}
+        if not raw.keys() - {OTHER}:
+            return {}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()} if norm else {}
 
@@ -157,9 +188,9 @@ def _terms_of(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = list(term_counts(batch["text"].tolist()))
-            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "terms": [t for t, _ in found], "counts": [n for _, n in found]})
+            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "terms": [f[0] for f in found], "counts": [f[1] for f in found], "shorter": [f[2] for f in found]})
 
-    return rows.mapInPandas(count, "id bigint, toxic int, terms array<bigint>, counts array<bigint>")
+    return rows.mapInPandas(count, "id bigint, toxic int, terms array<bigint>, counts array<bigint>, shorter array<bigint>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
@@ -177,12 +208,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, example
     part = lambda seen, of, all_seen: F.when(seen > 0, seen * F.log(seen * (n[0] + n[1]) / (of * all_seen))).otherwise(0.0)
     both, rest = F.col("t") + F.col("c"), F.lit(n[0] + n[1]) - F.col("t") - F.col("c")
     g = 2 * (part(F.col("t"), n[1], both) + part(F.col("c"), n[0], both) + part(n[1] - F.col("t"), n[1], rest) + part(n[0] - F.col("c"), n[0], rest))
-    table_ = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(share(1).alias("t"), share(0).alias("c"))
+    each = rows.select("toxic", F.inline(F.arrays_zip("terms", "shorter")))
+    table_ = each.groupBy(F.col("terms").alias("term")).agg(share(1).alias("t"), share(0).alias("c"), F.max("shorter").alias("shorter"))
     told = table_.filter(both >= LEAST_DF).withColumn("g", g).filter(F.col("g") >= LEAST_G)
-    picked = sorted(r["term"] for r in told.orderBy(F.desc("g"), "term").limit(terms).collect())
+    top = told.orderBy(F.desc("g"), "term").limit(CANDIDATES * terms).select("term", "g", "shorter").collect()
+    picked = distinct_terms([tuple(r) for r in top], terms)
     idf = _idf(docs, picked)
-    own = rows.select("id", "toxic", F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(F.lit(picked) if picked else F.array().cast("array<bigint>"), x["terms"])).alias("found"))
-    vectors = [(r["id"], r["toxic"], {x["terms"]: x["counts"] for x in r["found"]}) for r in own.orderBy("id").collect()]
+    size = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n)
+    own = rows.select("id", "toxic", size.alias("size"), F.filter(F.arrays_zip("terms", "counts"), lambda x: F.array_contains(F.lit(picked) if picked else F.array().cast("array<bigint>"), x["terms"])).alias("found"))
+    vectors = [(r["id"], r["toxic"], {OTHER: rounded(r["size"])} | {x["terms"]: x["counts"] for x in r["found"]}) for r in own.orderBy("id").collect()]
     return Model(idf, vectors, (sizes.get(0, 0), sizes.get(1, 0)))
 
 
@@ -192,31 +226,32 @@ def _idf(docs: DataFrame, picked: list[int]) -> dict[int, float]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        from corvane.llm.wordhash import NOT_ALNUM, words
-
         terms, df, n = np.array(picked, np.int64), np.zeros(len(picked), np.int64), 0
         for batch in batches:
-            for hashes, bounds in words(batch["text"].tolist(), NOT_ALNUM):
-                n += len(bounds) - 1
-                at, doc = _picked(terms, hashes, bounds)
-                df += np.bincount(np.unique(doc * max(1, len(terms)) + at) % max(1, len(terms)), minlength=len(terms))
+            n += len(batch)
+            for _, _, at, text, _ in _picked(terms, batch["text"].tolist()):
+                df += np.bincount(np.unique(text * max(1, len(terms)) + at) % max(1, len(terms)), minlength=len(terms))
         yield pd.DataFrame({"term": [None, *picked], "n": [n, *df.tolist()]}).astype({"term": "object"}).assign(term=lambda x: x["term"].map(lambda t: None if t is None else str(t)))
 
     rows = docs.select("text").mapInPandas(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts = {r["term"]: r["n"] for r in rows}
-    return {t: math.log((counts.get(None, 0) + 1) / (counts.get(str(t), 0) + 0.5)) + 1 for t in picked}
+    return {OTHER: 1.0} | {t: math.log((counts.get(None, 0) + 1) / (counts.get(str(t), 0) + 0.5)) + 1 for t in picked}
 
 
-def _picked(terms, hashes, bounds):
-    """Of the words that are terms: the term's number and the text's."""
+def _picked(terms, texts: list[str | None]) -> Iterator[tuple]:
+    """For runs of texts: the first one's number, how many, of each term found its place in terms and its text in the run, and each text's number of words and stems."""
     import numpy as np
 
-    if not len(terms):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    signed = hashes.view(np.int64)
-    at = np.minimum(np.searchsorted(terms, signed), len(terms) - 1)
-    hit = np.flatnonzero(terms[at] == signed)
-    return at[hit], np.searchsorted(bounds, hit, "right") - 1
+    from corvane.llm.wordhash import NOT_ALNUM, features
+
+    for first, n, hashes, text, _ in features(texts, NOT_ALNUM, STEMS):
+        if not len(terms):
+            yield first, n, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64)
+            continue
+        signed = hashes.view(np.int64)
+        at = np.minimum(np.searchsorted(terms, signed), len(terms) - 1)
+        hit = np.flatnonzero(terms[at] == signed)
+        yield first, n, at[hit], text[hit], np.bincount(text, minlength=n)
 
 
 def scorer(model: Model):
@@ -225,24 +260,23 @@ def scorer(model: Model):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
-        from corvane.llm.wordhash import NOT_ALNUM, words
-
-        terms, none, kept = np.array(sorted(model.idf), np.int64), model.score(()), {}
+        terms, none, kept = np.array(sorted(model.idf.keys() - {OTHER}), np.int64), model.score(()), {}
         for texts in batches:
-            out = []
-            for hashes, bounds in words(texts.tolist(), NOT_ALNUM):
-                own = np.full(len(bounds) - 1, none)
-                at, doc = _picked(terms, hashes, bounds)
-                for d in np.unique(doc):
-                    t, n = np.unique(at[doc == d], return_counts=True)
-                    key = t.tobytes() + n.tobytes()
+            out = np.full(len(texts), none)
+            for first, _, at, text, sizes in _picked(terms, texts.tolist()):
+                order = np.argsort(text, kind="stable")
+                at, text = at[order], text[order]
+                cuts = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1], [True]))) if len(text) else [0]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    t, n = np.unique(at[a:b], return_counts=True)
+                    size = rounded(int(sizes[text[a]]))
+                    key = t.tobytes(), n.tobytes(), size
                     if key not in kept:
                         if len(kept) >= KEPT_ANSWERS:
                             kept.clear()
-                        kept[key] = model.score(zip(terms[t].tolist(), n.tolist(), strict=True))
-                    own[d] = kept[key]
-                out.append(own)
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+                        kept[key] = model.score([(OTHER, size), *zip(terms[t].tolist(), n.tolist(), strict=True)])
+                    out[first + text[a]] = kept[key]
+            yield pd.Series(out)
 
     return F.pandas_udf(score, "double")
 

@@ -43,22 +43,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _words(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word."""
+def _split(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start and end of every word, prefix sums of the bytes' polynomial, and the inverse powers."""
     raw = np.frombuffer(data, np.uint8)
     inside = np.concatenate(([False], ~separators[raw], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[0::2], edges[1::2]
     power, inverse = _power(len(raw) + 1)
     prefix = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=prefix[1:])
-    poly = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix(poly + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+    return edges[0::2], edges[1::2], prefix, inverse
+
 
+def _hash(a: np.ndarray, b: np.ndarray, prefix: np.ndarray, inverse: np.ndarray, salt: int = 0) -> np.ndarray:
+    poly = (prefix[b] - prefix[a]) * inverse[a]
+    return mix(poly + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt))
 
-def _long(data: bytes, separators: np.ndarray) -> np.ndarray:
-    """Hashes of the words of one text that is too long for a chunk: cut at separators."""
-    out, at = [], 0
+
+def _words(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word."""
+    starts, ends, prefix, inverse = _split(data, separators)
+    return _hash(starts, ends, prefix, inverse), starts
+
+
+def _stems(data: bytes, separators: np.ndarray, stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and start of every word and of its first k bytes for each k of stems below its length, and the hash of the next shorter of these, or 0."""
+    starts, ends, prefix, inverse = _split(data, separators)
+    hashes, at, shorter, last = [], [], [], np.zeros(len(starts), np.uint64)
+    for k in stems:
+        own = ends - starts > k
+        h = _hash(starts, np.minimum(starts + k, ends), prefix, inverse, 1)
+        hashes.append(h[own])
+        shorter.append(last[own])
+        at.append(starts[own])
+        last = np.where(own, h, last)
+    hashes.append(_hash(starts, ends, prefix, inverse))
+    return np.concatenate(hashes), np.concatenate([*at, starts]), np.concatenate([*shorter, last])
+
+
+def _pieces(data: bytes, separators: np.ndarray) -> Iterator[bytes]:
+    """A text that is too long for a chunk, cut at separators."""
+    at = 0
     while at < len(data):
         end = min(len(data), at + CHUNK_BYTES)
         while end < len(data):  # on to the next separator
@@ -67,9 +91,8 @@ def _long(data: bytes, separators: np.ndarray) -> np.ndarray:
                 end += int(stop[0])
                 break
             end = min(len(data), end + CHUNK_BYTES)
-        out.append(_words(data[at:end], separators)[0])
+        yield data[at:end]
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def words(texts: list[str | None], separators: np.ndarray = WHITE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -81,7 +104,7 @@ def words(texts: list[str | None], separators: np.ndarray = WHITE) -> Iterator[t
             yield _run(run, separators)
             run, size = [], 0
         if len(data) > CHUNK_BYTES:
-            hashes = _long(data, separators)
+            hashes = np.concatenate([_words(p, separators)[0] for p in _pieces(data, separators)])
             yield hashes, np.array([0, len(hashes)])
             continue
         run.append(data)
@@ -94,3 +117,29 @@ def _run(run: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.ndarr
     hashes, starts = _words(b"\n".join(run), separators)
     begins = np.cumsum([0, *(len(d) + 1 for d in run)])
     return hashes, np.searchsorted(starts, begins)
+
+
+def features(texts: list[str | None], separators: np.ndarray, stems: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts: number of the first text, how many they are, and of each word and stem the hash, its text's number in the run, and the next shorter stem."""
+    first, run, size = 0, [], 0
+
+    def done(run: list[bytes]) -> tuple:
+        hashes, starts, shorter = _stems(b"\n".join(run), separators, stems)
+        begins = np.cumsum([0, *(len(d) + 1 for d in run)])
+        return first, len(run), hashes, np.searchsorted(begins, starts, "right") - 1, shorter
+
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass").lower()
+        if run and size + len(data) + 1 > CHUNK_BYTES:
+            yield done(run)
+            first, run, size = first + len(run), [], 0
+        if len(data) > CHUNK_BYTES:
+            parts = [_stems(p, separators, stems) for p in _pieces(data, separators)]
+            hashes, shorter = (np.concatenate([p[k] for p in parts]) for k in (0, 2))
+            yield first, 1, hashes, np.zeros(len(hashes), np.int64), shorter
+            first += 1
+            continue
+        run.append(data)
+        size += len(data) + 1
+    if run:
+        yield done(run)
