@@ -2,8 +2,8 @@
 
 A bounded sample of labelled documents of each class (EXAMPLES, drawn by hash) are the examples. Terms are the words and word
 beginnings (STEMS) whose share of toxic and clean examples differs beyond chance; their document frequencies are counted over all documents. A
-document's other words are one more term, with the least idf, so that a term weighs less in a long text. Its nearest examples are found exactly with a block-max inverted index: lists are walked in step, and blocks whose
-best possible cosine can't reach the k-th best so far are skipped. The examples vote by closeness. Leaving each example out
+document's other words are one more term, with the least idf, so that a term weighs less in a long text. Its nearest examples are found exactly with a block-max inverted index: blocks of examples are visited by their best possible cosine
+until none left can reach the k-th best so far. The examples vote by closeness. Leaving each example out
 in turn calibrates the votes: a score is the share of toxic documents, at the labels' true class sizes, among examples
 with such votes.
 
@@ -15,9 +15,7 @@ counts as toxic; null labels and ids are skipped.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from heapq import heappush, heapreplace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,63 +74,60 @@ def rounded(n: int) -> int:
 
 
 class BlockMaxIndex:
-    """Unit vectors (ascending term -> weight) with exact top-k search by dot product."""
+    """Vectors (term -> weight) with exact top-k search by dot product.
+
+    Vectors are numbered so that alike ones share blocks. A term's list knows the greatest weight in each block; a query
+    visits blocks by their best possible product, the best first, until no block left can reach the k-th best so far."""
 
     def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for doc, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                lists.setdefault(term, []).append((doc, weight))
-        self.block, self.end = block, len(vectors)
-        self.lists = {
-            t: ([d for d, _ in p], [w for _, w in p], [max(w for _, w in p[k : k + block]) for k in range(0, len(p), block)], max(w for _, w in p))
-            for t, p in lists.items()
-        }
+        import numpy as np
+
+        def kind(n: int) -> tuple:
+            main = max((t for t in vectors[n] if t != OTHER), key=lambda t: (vectors[n][t], t), default=OTHER)
+            return main, vectors[n].get(OTHER, 0.0), n
+
+        self.number = np.array(sorted(range(len(vectors)), key=kind), np.int64)
+        self.block, self.blocks = block, -(-len(vectors) // block)
+        lists: dict[int, tuple[list, list]] = {}
+        for at, n in enumerate(self.number.tolist()):
+            for term, weight in vectors[n].items():
+                docs, weights = lists.setdefault(term, ([], []))
+                docs.append(at)
+                weights.append(weight)
+        edges, self.lists = np.arange(self.blocks + 1) * block, {}
+        for term, (docs, weights) in lists.items():
+            d, w = np.array(docs, np.int64), np.array(weights)
+            tops = np.zeros(self.blocks)
+            np.maximum.at(tops, d // block, w)
+            self.lists[term] = d, w, np.searchsorted(d, edges).tolist(), tops
 
     def search(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k vectors with the greatest positive products, best first; of equal ones the lower numbers. without: a vector left out."""
-        cursors = [[docs[0], 0, q, docs, weights, tops, q * top] for t, q in query.items() if t in self.lists for docs, weights, tops, top in (self.lists[t],)]
-        heap: list[tuple[float, int]] = []
-        block = self.block
-        while cursors:
-            cursors.sort(key=lambda c: c[0])
-            least, bound, pivot = heap[0][0] if len(heap) == k else 0.0, 0.0, -1
-            for n, c in enumerate(cursors):
-                bound += c[6]
-                if bound > least:
-                    pivot = n
-                    break
-            if pivot < 0:
+        import numpy as np
+
+        terms = [(q, *self.lists[t]) for t, q in query.items() if t in self.lists]
+        if not terms:
+            return []
+        bound = sum(q * tops for q, _, _, _, tops in terms) + 1e-12  # sums may differ in their last bits
+        scores, numbers, least = np.zeros(0), np.zeros(0, np.int64), 0.0
+        for b in np.argsort(-bound, kind="stable").tolist():
+            if bound[b] <= 1e-12 or bound[b] < least:
                 break
-            doc = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == doc:
-                pivot += 1
-            tight, until = 0.0, self.end
-            for c in cursors[: pivot + 1]:  # the best that the blocks around doc can give
-                at = bisect_left(c[3], doc, c[1])
-                if at < len(c[3]):
-                    b = at // block
-                    tight += c[2] * c[5][b]
-                    last = min(len(c[3]), (b + 1) * block) - 1
-                    until = min(until, c[3][last] + 1)
-            if tight <= least:
-                target = max(doc + 1, min(until, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else self.end))
-            elif cursors[0][0] == doc:
-                score = sum(c[2] * c[4][c[1]] for c in cursors[: pivot + 1])
-                if doc != without:
-                    if len(heap) < k:
-                        heappush(heap, (score, -doc))
-                    elif score > heap[0][0]:
-                        heapreplace(heap, (score, -doc))
-                target = doc + 1
-            else:
-                target = doc
-            for c in cursors[: pivot + 1]:
-                if c[0] < target:
-                    c[1] = bisect_left(c[3], target, c[1])
-                    c[0] = c[3][c[1]] if c[1] < len(c[3]) else self.end
-            cursors = [c for c in cursors if c[0] < self.end]
-        return [(s, -d) for s, d in sorted(heap, reverse=True)]
+            own = np.zeros(self.block)
+            for q, docs, weights, starts, _ in terms:
+                s, e = starts[b], starts[b + 1]
+                own[docs[s:e] - b * self.block] += q * weights[s:e]
+            hit = np.flatnonzero((own > 0) & (own >= least))
+            hit = hit[self.number[b * self.block + hit] != without]
+            if len(hit):
+                scores, numbers = np.concatenate((scores, own[hit])), np.concatenate((numbers, self.number[b * self.block + hit]))
+                if len(scores) > k:
+                    best = np.lexsort((numbers, -scores))[:k]
+                    scores, numbers = scores[best], numbers[best]
+                if len(scores) == k:
+                    least = float(scores.min())
+        best = np.lexsort((numbers, -scores))
+        return list(zip(scores[best].tolist(), numbers[best].tolist(), strict=True))
 
 
 class Model:
