@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +25,40 @@ def shared_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+#: While a stage of a pipeline runs, the paths that it makes.
+_stage: list[str] | None = None
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the driver ends."""
     path = f"{shared_root(spark)}/corvane/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if _stage is not None:
+        _stage.append(path)
     return path
 
 
+def staged(stage: Callable, made: list[str]) -> Callable:
+    """A pipeline's stage that first deletes what the stage before it made: its rows are written by then, and in docs.
+
+    made: a list that the stages of one pipeline share."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _stage
+        for path in made:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        made.clear()
+        before, _stage = _stage, made
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _stage = before
+
+    return run
+
+
 def put(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and returns the table read from there, which cuts the lineage."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)

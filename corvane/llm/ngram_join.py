@@ -4,8 +4,7 @@
 2. Two sets of a and b <= a / t elements that reach similarity t differ in at most a * (1 - t) / t of them. With more
    parts of the hash range than that, they agree in some part, and in some part that isn't empty unless a set leaves
    so many empty that its documents get a key of their own. Each set gives a signature for each of its parts. The sets
-   that share a signature, closed over chains, form a group: every link lies within a group. Signatures are counted
-   with partial aggregation, so that a signature of many sets is no large task.
+   that share a signature, closed over chains, form a group: every link lies within a group.
 3. In each group the links are found by T-occurrence search over inverted lists with DivideSkip: of a query's lists the
    short ones are heap-merged, and the documents that occur often enough there are probed for in the long ones by
    bisection, until they reach the overlap that their sizes ask for or no longer can. Every set is a query once; sets
@@ -31,8 +30,9 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corvane.llm.common import put, small, table
+from corvane.llm.common import drop_table, put, small, table
 from corvane.llm.components import components
 
 #: N-grams that a task may hold at once.
@@ -262,9 +262,12 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, block_items:
     described = put(_described(docs, n, percent), "join-described")
     vertices = put(described.filter("_n > 0").groupBy("_h", "_g").agg(F.first("_n").alias("_n"), F.min("doc_id").alias("_least"), F.min("_row").alias("_row")), "join-vertices")
     # Groups: sets that share a signature. Only _h stands for a set here; should two share it, their groups become one.
-    shown = described.select(F.explode("_sigs").alias("_sig"), "_h")
-    shared = shown.groupBy("_sig").agg(F.min("_h").alias("_first"), F.max("_h").alias("_last")).filter("_first != _last").select("_sig", "_first")
-    edges = shown.join(small(put(shared, "join-shared")), "_sig").select(F.col("_h").alias("u"), F.col("_first").alias("v"))
+    # One shuffle of short rows; a signature of many sets is sorted and streamed, and spills, but isn't held by a task.
+    first = F.min("_h").over(Window.partitionBy("_sig"))
+    edges = described.select(F.explode("_sigs").alias("_sig"), "_h").withColumn("_first", first).filter("_h != _first")
+    edges = put(edges.select(F.col("_h").alias("u"), F.col("_first").alias("v")).distinct(), "join-edges")
+    narrow = put(described.drop("_sigs"), "join-narrow")
+    drop_table(described)
     grouped = put(components(edges).select(F.col("node").alias("_h"), F.col("label").alias("_group")), "join-groups")
     wanted = put(vertices.join(small(grouped), "_h"), "join-wanted")
     blocks = wanted.groupBy("_group").agg(F.ceil(F.sum("_n") / F.lit(block_items / 2)).cast("int").alias("_blocks"), F.sum("_n").alias("_all"))
@@ -292,7 +295,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, block_items:
     named = vertices.select("_h", "_g", "_least").join(small(found), ["_h", "_g"], "left").withColumns({"_lh": F.coalesce("_lh", "_h"), "_lg": F.coalesce("_lg", "_g")})
     least = named.groupBy("_lh", "_lg").agg(F.min("_least").alias("component_id"))
     names = put(named.join(least, ["_lh", "_lg"]).select("_h", "_g", "component_id"), "join-names")
-    out = described.drop("_sigs").join(names, ["_h", "_g"], "left")
+    out = narrow.join(names, ["_h", "_g"], "left")
     return out.select(
         "doc_id", F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "_row"
     )
