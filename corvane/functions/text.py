@@ -35,12 +35,13 @@ def stripped(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Han characters count 1.5 tokens, others 0.3; rounded down."""
-    han = F.regexp_count(text, F.lit(HAN))
+    han = F.char_length(text) - F.char_length(F.regexp_replace(text, f"{HAN}+", ""))
     return F.coalesce(F.floor(han * F.lit(1.5) + (F.char_length(text) - han) * F.lit(0.3)), F.lit(0)).cast("bigint")
 
 
 def valid_ratio(text: Column) -> Column:
-    return F.when(F.char_length(text) > 0, F.regexp_count(text, F.lit(VALID_CHARS)) / F.char_length(text)).otherwise(0.0)
+    n = F.char_length(text)
+    return F.when(n > 0, (n - F.char_length(F.regexp_replace(text, f"{VALID_CHARS}+", ""))) / n).otherwise(0.0)
 
 
 def repetition_ratio(text: Column) -> Column:

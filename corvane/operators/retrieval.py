@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,7 +48,9 @@ def bm25(queries: DataFrame, docs: DataFrame, qkey: str, key: str, k: int = 15)
     """qkey, key, score (min-max normalised over all documents) and rank of each query's k best documents.
 
     Documents without a query term score 0 and only come in where fewer than k have one; they aren't joined to queries that don't need them."""
-    posted, stats = postings(docs, key), corpus_stats(docs)
+    posted = postings(docs, key).persist(StorageLevel.MEMORY_AND_DISK)  # read for dfs, lengths and hits; spills, and is made anew if lost
+    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_t"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(total).select("n", (F.col("_t") / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl"))
     wanted = queries.select(qkey, F.explode(words(F.col("text"))).alias("term")).groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("times"))
     # Only the queries' terms are scored; the mean idf still needs every term's.
     hits = posted.join(term_stats(posted, stats), "term").join(wanted, "term")

@@ -49,7 +49,7 @@ def vector_topk_ivf(spark: SparkSession, sf: str) -> DataFrame:
 
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
     """Two paths over one list of BM25 hits: itself, and its mirror by rank as a second opinion."""
-    hits = R.bm25(load(spark, sf, "benchmark"), load(spark, sf, "documents"), "item_id", "doc_id")
+    hits = R.bm25(load(spark, sf, "benchmark"), load(spark, sf, "documents"), "item_id", "doc_id").persist()  # a few rows for each query
     a = hits.select("item_id", "doc_id", F.lit("bm25").alias("path"), "score")
     b = hits.filter("rank <= 10").select("item_id", "doc_id", F.lit("vector").alias("path"), (F.col("rank") / 12.0).alias("score"))
     return a.unionByName(b)

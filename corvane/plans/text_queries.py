@@ -23,9 +23,9 @@ def doc_token_estimate(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_garble_filter(spark: SparkSession, sf: str) -> DataFrame:
     t = T.stripped(F.col("text"))
-    return load(spark, sf, "documents").select(
-        "doc_id", F.round(T.valid_ratio(t), 6).alias("valid_ratio"), F.round(T.repetition_ratio(t), 6).alias("top_share"), T.is_garbled(F.col("text")).alias("garbled")
-    )
+    told = load(spark, sf, "documents").select("doc_id", F.char_length(t).alias("n"), T.valid_ratio(t).alias("v"), T.repetition_ratio(t).alias("r"))
+    garbled = (F.col("n") < T.GARBLE_MIN_CHARS) | (F.col("v") < T.GARBLE_VALID) | (F.col("r") > T.GARBLE_REPEAT)
+    return told.select("doc_id", F.round("v", 6).alias("valid_ratio"), F.round("r", 6).alias("top_share"), garbled.alias("garbled"))
 
 
 def doc_snippet_clean(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,4 +12,11 @@ def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name == "documents" else table
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer pieces than there are cores, dealt to all of them, as work on texts is long; a larger one as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table._jdf.queryExecution().toRdd().getNumPartitions() < cores else table
