@@ -10,11 +10,10 @@ in the shared folder, which every scoring task maps into memory:
 - level 3: for each pair the start of its successors; a successor is told by its place among the successors of the pair's
   second word, a small number, in sequence with its pair; quantised probabilities and back-offs.
 
-Probabilities are smoothed by absolute discounting: what is discounted, and what pairs and triples seen fewer than
-LEAST times would have had, goes to the next shorter context. What is discounted from words is the unknown word's.
-A text is scored as its words followed by one end, after a start.
+Probabilities are smoothed by absolute discounting: what is discounted goes to the next shorter context. What is
+discounted from words is the unknown word's. A text is scored as its words followed by one end, after a start.
 
-Counts are exact over all training texts; LEAST prunes the model only. Words are 64-bit hashes of what is between ASCII
+Counts are exact over all training texts, and every pair and triple seen LEAST times, which is once, is in the model. Words are 64-bit hashes of what is between ASCII
 white space, with A-Z lowered.
 
 Defined cases: null and empty texts are the end alone; with nothing to learn from, every token is unknown and the
@@ -34,10 +33,10 @@ from pyspark.sql import functions as F
 from corvane.llm.common import crc_mod, put, scratch, table
 
 #: Times that a pair or triple must occur to be kept.
-LEAST = 2
+LEAST = 1
 DISCOUNT = 0.75
 #: Tokens that a task sums at a time, and that a shard of level 2 or 3 is for.
-RUN_TOKENS, SHARD_TOKENS = 4_000_000, 8_000_000
+RUN_TOKENS, SHARD_TOKENS = 4_000_000, 4_000_000
 WORD_SHARDS = 64
 #: Steps of a tenfold, of 255 at most, in quantised probabilities and back-offs.
 PROB_STEPS, BACK_STEPS = 24, 64
@@ -375,7 +374,7 @@ def train(texts: DataFrame) -> Trie:
     def triple_keys(tokens, ends):
         import numpy as np
 
-        # A triple seen LEAST times has both its pairs seen as often: others needn't be counted.
+        # Every triple's pairs are kept, so only the tokens that no pair goes before are left out.
         _, _, before_pairs, places, both = trie.context(trie.ids(tokens)[0], _flags(ends, len(tokens)))
         return (before_pairs[both] * trie.width + places[both]).astype(np.uint64)
 

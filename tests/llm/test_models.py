@@ -81,6 +81,16 @@ def test_language_model(spark):
     assert [r.score for r in ngram_lm.score(docs.limit(2), none).collect()] == [0.0, 0.0]
 
 
+def test_language_model_keeps_what_is_seen_once(spark):
+    train, asked = ["one two three four", "one two five", "five six"], ["one two three", "one two five", "two three four", "five six seven", "six one"]
+    trie = ngram_lm.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    assert sum(p[2] for p in trie.pairs.values()) == 10 and sum(t[2] for t in trie.triples.values()) == 8
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in ngram_lm.score(docs, trie).collect()}
+    for k, (tokens, _, _, score) in enumerate(lm_brute(train, asked, least=1)[1]):
+        assert abs(got[k] - score) <= 0.05 * tokens
+
+
 def test_block_max_index_is_exact():
     draw = random.Random(5)
     for _ in range(150):
