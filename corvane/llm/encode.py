@@ -2,7 +2,8 @@
 
 Both public vocabularies split a text by a pattern before any merge, and the ids of a text are those of its pieces one
 after another. A text made of the characters in PLAIN, on whose classes all Unicode versions agree, is split here by
-the same pattern, and only pieces that aren't in a bounded cache go to the library. Any other text goes to the library whole.
+the same pattern, and only pieces that aren't in a bounded cache go to the library. Any other text goes to the library
+whole; for a vocabulary in lower case also one with a capital whose lower case isn't in PLAIN, as U+018F with U+0259.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ CACHE_PIECES = 1_000_000
 CHUNK_CHARS = 2_000_000
 
 
-def _classes() -> tuple[str, str, str]:
+def _classes(lower: bool) -> tuple[str, str, str]:
+    """Insides of character classes: plain characters, letters and numbers."""
     plain = [chr(c) for a, b in PLAIN_RANGES for c in range(a, b + 1)]
+    if lower:
+        every = set(plain)
+        plain = [c for c in plain if c.lower() in every]
     chosen = lambda kind: "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == kind)
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in PLAIN_RANGES), chosen("L"), chosen("N")
+    return "".join(map(re.escape, plain)), chosen("L"), chosen("N")
 
 
 class Encoder:
@@ -42,10 +47,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache_pieces, self.cache = cache_pieces, {}
-        plain, letter, number = _classes()
+        self.lower = spec.get("normalizer") is not None
+        plain, letter, number = _classes(self.lower)
         space = r"\t-\r "
         tails = "'s|'t|'re|'ve|'m|'ll|'d"
-        self.lower = spec.get("normalizer") is not None
         if self.lower:
             pattern = rf"{tails}|[{letter}]+|[{number}]|[^{space}{letter}{number}]+"
         else:

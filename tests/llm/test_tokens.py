@@ -28,6 +28,13 @@ def test_encoder_agrees_with_the_library(name, text):
     assert np.frombuffer(next(ENCODERS[name].ids([text])), "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_capitals_inside_words(name):
+    texts = [t for c in map(chr, range(0xC0, 0x250)) for t in (f"{c}LAQ{c}L{c}R", f"a {c}arna x{c}")]
+    for text, ids in zip(texts, ENCODERS[name].ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == PLAIN[name].encode(text, add_special_tokens=False).ids, text
+
+
 def test_special_strings_are_text():
     assert 50256 not in np.frombuffer(next(ENCODERS["byte_bpe_50k.json"].ids(["<|endoftext|>"])), "<u4")
 
