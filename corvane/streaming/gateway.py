@@ -1,4 +1,4 @@
-"""State of a gateway, as batch replays in event order and as stateful streams: rate limits, near-duplicates, cost windows, sessions."""
+"""State of a gateway, as batch replays in event order: rate limits (also as a stateful stream), near-duplicates, cost windows; and sessions."""
 
 from __future__ import annotations
 
