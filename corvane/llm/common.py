@@ -83,10 +83,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def is_small(df: DataFrame, megabytes: float = 8) -> bool:
+    """Whether the files of df, a written table, are no larger than that."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= megabytes * 1e6
+
+
 def small(df: DataFrame, megabytes: float = 8) -> DataFrame:
-    """df, a written table, with a broadcast hint if its files are no larger than that; else unchanged, and the join shuffles."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= megabytes * 1e6 else df
+    """df, a written table, with a broadcast hint if it is small; else unchanged, and the join shuffles."""
+    return F.broadcast(df) if is_small(df, megabytes) else df
 
 
 def crc_mod(doc_id: Column, mod: int) -> Column:

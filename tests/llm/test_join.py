@@ -57,10 +57,10 @@ def rows():
     return [*out, (900, None), (901, ""), (902, " \n"), (None, out[0][1]), (None, None), out[5], (903, "long " * 3000), (904, "Long " * 3001)]
 
 
-@pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, 4_000_000), (5, 80, 4_000_000), (1, 80, 150), (3, 90, 100)])
-def test_components(spark, rows, n, percent, block):
+@pytest.mark.parametrize(("n", "percent", "sizes"), [(3, 90, ()), (5, 80, ()), (1, 80, (4, 150, 300)), (3, 90, (3, 100, 1)), (5, 80, (2, 60, 2000))])
+def test_components(spark, rows, n, percent, sizes):
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, _h int, _n int").repartition(3)
-    got = ngram_join.join_components(docs, n, percent, block)
+    got = ngram_join.join_components(docs, n, percent, *sizes)
     assert sorted((tuple(r)[:3] for r in got.collect()), key=str) == brute(rows, n, percent)
 
 
