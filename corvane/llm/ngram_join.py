@@ -12,10 +12,11 @@
    heap-merged, and the documents that occur often enough there are probed for in the long ones by bisection, until they
    reach the overlap that their sizes ask for or no longer can. First each bucket's most central set is the query, once
    for all buckets that it is central to; what it reaches is one component. In buckets that are then of one component no
-   pair is left to tell. In the others every set outside of the largest component is a query against all others.
+   pair is left to tell. The others are closed over chains to groups, and in a group every set outside of the largest
+   component is a query against all others; or in each bucket by itself, if fewer n-grams are moved that way.
 
-Queries and lists of a pivot or bucket are cut into blocks (BLOCK_MEMBERS, BLOCK_ITEMS) and each block of queries meets
-each block of lists, so no task holds a whole group. A pivot is one query, so near copies of one text cost their
+Queries and lists of a pivot, group or bucket are cut into blocks (BLOCK_MEMBERS, BLOCK_ITEMS) and each block of queries
+meets each block of lists, so no task holds a whole group. A pivot is one query, so near copies of one text cost their
 number, not its square. What can cost more is a bucket of many sets with no link between them that also share most
 n-grams with yet others. No set or link is dropped anywhere.
 
@@ -264,8 +265,10 @@ def _unblob(blob: bytes, *kinds: str) -> list:
     return out
 
 
-def shared_enough(texts: DataFrame, n: int, percent: int, ranges: int, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
-    """_id of each set of texts (text) of whose n-grams other texts hold percent or more. The hashes' first 48 bits are compared; a clash lets a set through."""
+def shared_enough(texts: DataFrame, n: int, percent: int, all_items: int, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
+    """_id of each set of texts (text) of whose n-grams other texts hold percent or more. all_items: about how many n-grams
+    there are; so many of the hashes' bits are compared that a thousandth of them clash, and a clash lets a set through at most."""
+    ranges, bits = 1 + all_items // RANGE_ITEMS, min(64, max(24, all_items.bit_length() + 10))
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -273,7 +276,7 @@ def shared_enough(texts: DataFrame, n: int, percent: int, ranges: int, chunk_ite
         held, items, number = [], 0, TaskContext.get().partitionId() << 32
 
         def flush() -> pd.DataFrame:
-            keys = np.concatenate(held) >> np.uint64(16)
+            keys = np.concatenate(held) >> np.uint64(64 - bits)
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(g) for g in held])
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
@@ -281,7 +284,7 @@ def shared_enough(texts: DataFrame, n: int, percent: int, ranges: int, chunk_ite
             times = np.diff(np.append(first, len(keys)))
             inside = np.bincount(owner[np.repeat(times > 1, times)], minlength=len(held))
             keys, owner = keys[first], np.where(times > 1, np.uint32(MANY), owner[first])
-            range_ = ((keys >> np.uint64(24)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
+            range_ = ((keys >> np.uint64(bits - 24)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
             cuts = np.flatnonzero(np.concatenate(([True], range_[1:] != range_[:-1], [True])))
             rows = [(int(range_[a]), number, 1, _blob(np.diff(keys[a:b], prepend=np.uint64(0)), owner[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             ids = np.frombuffer(b"".join(_identity(g) for g in held), np.uint64).reshape(-1, 2)
@@ -391,7 +394,7 @@ def _search(rows: DataFrame, percent: int, of: str) -> DataFrame:
 
 def _blocks(rows: DataFrame, of: str, sets: DataFrame, block_members: int, block_items: int) -> DataFrame:
     """What _search takes of rows (of, _id, _comp, _asks): queries go to each block of lists, lists to each block of queries."""
-    sized = rows.join(sets.select("_id", "_n"), "_id")
+    sized = rows if "_n" in rows.columns else rows.join(sets.select("_id", "_n"), "_id")
     listed, asked = ~F.col("_asks"), F.col("_asks")
     cut = lambda which, members: F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, F.col("_n"))) / block_items), F.ceil(F.count_if(which) / members)).cast("int")
     counts = put(sized.groupBy(of).agg(cut(asked, block_members).alias("_qs"), cut(listed, block_members).alias("_ls")), "join-blocks")
@@ -399,7 +402,8 @@ def _blocks(rows: DataFrame, of: str, sets: DataFrame, block_members: int, block
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     placed = rows.join(small(counts), of).withColumn("_i", F.explode(F.when(F.col("_asks"), F.array(spread("_qs", 1))).otherwise(every("_qs"))))
     placed = placed.withColumn("_j", F.explode(F.when(F.col("_asks"), every("_ls")).otherwise(F.array(spread("_ls", 2)))))
-    return placed.drop("_qs", "_ls").withColumn("_asks", F.col("_asks").cast("int")).join(sets.select("_id", "_grams"), "_id")
+    placed = placed.select(of, "_i", "_j", "_id", "_comp", F.col("_asks").cast("int").alias("_asks"))
+    return placed.join(sets.select("_id", "_grams"), "_id")
 
 
 def set_links(sets: DataFrame, percent: int, block_members: int = BLOCK_MEMBERS, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -422,11 +426,26 @@ def set_links(sets: DataFrame, percent: int, block_members: int = BLOCK_MEMBERS,
     # A bucket of two sets is done, and so is one whose sets are all of one component.
     named = members.filter("_size > 2").join(small(put(reached, "join-reached")), F.col("_id") == F.col("node"), "left")
     named = put(named.select("_sig", "_id", F.coalesce("label", "_id").alias("_comp")), "join-named")
-    parts = named.groupBy("_sig", "_comp").agg(F.count(F.lit(1)).alias("_k")).groupBy("_sig").agg(F.max(F.struct("_k", "_comp"))["_comp"].alias("_main"), F.count(F.lit(1)).alias("_c"))
+    parts = named.groupBy("_sig", "_comp").agg(F.min("_id").alias("_first")).groupBy("_sig").agg(F.min("_first").alias("_first"), F.count(F.lit(1)).alias("_c"))
     left = put(named.join(small(put(parts.filter("_c > 1").drop("_c"), "join-open")), "_sig"), "join-left")
-    rows = left.select("_sig", "_id", "_comp", F.lit(False).alias("_asks")).unionByName(left.filter("_comp != _main").select("_sig", "_id", "_comp", F.lit(True).alias("_asks")))
-    second = put(_search(_blocks(rows, "_sig", sets, block_members, block_items), percent, "_sig"), "join-links")
-    return components(first.unionByName(second))
+    groups = put(components(left.select(F.col("_id").alias("u"), F.col("_first").alias("v"))), "join-groups")
+    left = put(left.join(small(groups), F.col("_id") == F.col("node")).join(sets.select("_id", "_n"), "_id").select("_sig", "_id", "_comp", "_n", F.col("label").alias("_group")), "join-left")
+    whole = put(left.select("_group", "_id", "_comp", "_n").distinct(), "join-whole")
+    in_groups, in_buckets = (put(_asked(rows, of), "join-asked") for rows, of in ((whole, "_group"), (left, "_sig")))
+    blocks = lambda which: F.greatest(F.lit(1), F.ceil(F.sum(F.when(which, F.col("_n"))) / block_items), F.ceil(F.count_if(which) / block_members))
+    moved = F.sum(F.when(F.col("_asks"), F.col("_n")).otherwise(0)) * blocks(~F.col("_asks")) + F.sum(F.when(F.col("_asks"), 0).otherwise(F.col("_n"))) * blocks(F.col("_asks"))
+    costs = in_groups.groupBy("_group").agg(moved.alias("_whole")).join(in_buckets.groupBy("_group").agg(F.sum("_n").alias("_parts")), "_group")
+    parted = small(put(costs.filter("_whole > _parts").select("_group"), "join-parted"))
+    second = _search(_blocks(in_groups.join(parted, "_group", "left_anti"), "_group", sets, block_members, block_items), percent, "_group")
+    third = _search(_blocks(in_buckets.join(parted, "_group", "left_semi"), "_sig", sets, block_members, block_items), percent, "_sig")
+    return components(first.unionByName(put(second.unionByName(third), "join-links")))
+
+
+def _asked(rows: DataFrame, of: str) -> DataFrame:
+    """rows (of, _group, _id, _comp, _n) with _asks false, and again with _asks true where a set isn't of the component with most sets of its key."""
+    main = rows.groupBy(of, "_comp").agg(F.count(F.lit(1)).alias("_k")).groupBy(of).agg(F.max(F.struct("_k", "_comp"))["_comp"].alias("_main"))
+    asks = rows.join(small(put(main, "join-main")), of).filter("_comp != _main").drop("_main")
+    return rows.withColumn("_asks", F.lit(False)).unionByName(asks.withColumn("_asks", F.lit(True)))
 
 
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80, block_members: int = BLOCK_MEMBERS, block_items: int = BLOCK_ITEMS, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
@@ -442,7 +461,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, block_member
     if not is_small(copies):  # chunks ask for rows in the same order should a task run twice
         alone = put(alone, "join-alone")
     items = vertices.agg(F.sum("_n")).first()[0] or 0
-    able = put(shared_enough(alone, n, percent, 1 + items // RANGE_ITEMS, chunk_items), "join-able")
+    able = put(shared_enough(alone, n, percent, items, chunk_items), "join-able")
     wanted = vertices.join(small(able), "_id", "left_semi").select("_id", F.col("_rep.doc_id").alias("_doc"), F.col("_rep._row").alias("_of"))
     texts = docs.join(small(put(wanted, "join-wanted")), same).groupBy("_id").agg(F.first("text").alias("text"))
 
