@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import audio, media, ngram_lm, toxicity
 from corvane.llm.elias_fano import EliasFano, pack, unpack
@@ -94,42 +95,108 @@ def test_language_model_keeps_what_is_seen_once(spark):
 def test_block_max_index_is_exact():
     draw = random.Random(5)
     for _ in range(150):
-        vectors = []
-        for _ in range(draw.randint(1, 200)):
-            v = {t: draw.random() for t in draw.sample(range(8), draw.randint(0, 4))}
-            vectors.append(v)
-        query, without = {t: draw.random() for t in draw.sample(range(9), 3)}, draw.choice([-1, 0])
+        vectors = [{t: draw.random() for t in draw.sample(range(8), draw.randint(0, 4))} for _ in range(draw.randint(1, 200))]
+        query, without = {t: draw.random() for t in sorted(draw.sample(range(8), 3))}, draw.choice([-1, 0])
         want = sorted(((sum(query[t] * v[t] for t in query if t in v), -d) for d, v in enumerate(vectors) if d != without), reverse=True)[:5]
-        got = toxicity.BlockMaxIndex(vectors, draw.choice([2, 4, 16])).search(query, 5, without)
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want if s > 0]
-
-
-def test_toxicity_held_out(spark):
+        flat = [(d, t, w) for d, v in enumerate(vectors) for t, w in v.items()]
+        owner, term, weight = (np.array([f[k] for f in flat], kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
+        block = draw.choice([2, 4, 16])
+        index = toxicity.BlockMaxIndex(toxicity.BlockMaxIndex.build(owner, term, weight, len(vectors), 8, block, draw.choice([1, 2, 4])), block)
+        got = next(index.search([(np.array(list(query)), np.array(list(query.values())))], 5, [without]))[0]
+        assert [round(s, 9) for s in got] == [round(s, 9) for s, _ in want if s > 0]
+
+
+def test_isotonic():
+    assert toxicity.isotonic([0.1, 0.2, 0.3, 0.3], [0, 1, 0, 1], [1, 1, 1, 1]) == ([0.1, pytest.approx(0.8 / 3)], [0, pytest.approx(2 / 3)])
+    assert toxicity.isotonic([], [], []) == ([], [])
+
+
+def toxic_brute(docs, labels, train, texts, k=toxicity.NEIGHBOURS):
+    """Scores by plain Python: the whole of the weights, the votes and the calibration."""
+    split = lambda t: Counter(re.findall(r"[a-z0-9\x80-\xff]+", (t or "").encode().lower().decode("latin-1")))
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None and train(i):
+            known[i] = max(known.get(i, 0), y)
+    by_id = {}
+    for i, t in docs:
+        if i in known:
+            by_id.setdefault(i, []).append(t)
+    examples = [(i, known[i], split(min((t for t in ts if t is not None), default=None))) for i, ts in sorted(by_id.items())]
+    n = [sum(e[1] == y for e in examples) for y in (0, 1)]
+    df, all_docs = Counter(), [split(t) for _, t in docs]
+    for d in all_docs:
+        df.update(d.keys())
+    seen = [Counter(), Counter()]
+    for _, y, c in examples:
+        seen[y].update(c.keys())
+
+    def factor(t):
+        cells = [(seen[y][t], n[y], seen[0][t] + seen[1][t]) for y in (0, 1)] + [(n[y] - seen[y][t], n[y], sum(n) - seen[0][t] - seen[1][t]) for y in (0, 1)]
+        g = 2 * sum(o * math.log(o * sum(n) / (row * column)) for o, row, column in cells if o)
+        return max(0.0, g) * (math.log((len(docs) + 1) / (df[t] + 0.5)) + 1)
+
+    factors = {t: factor(t) for t in {*seen[0], *seen[1]}}
+
+    def vector(c):
+        v = {t: (1 + math.log(x)) * factors[t] for t, x in c.items() if factors.get(t, 0) > 0}
+        size = math.sqrt(sum(w * w for w in v.values()))
+        return {t: w / size for t, w in v.items()}
+
+    vectors = [vector(c) for _, _, c in examples]
+
+    def votes(v, without=-1):
+        near = sorted(((sum(w * u[t] for t, w in v.items() if t in u), -j) for j, u in enumerate(vectors) if j != without), reverse=True)[:k]
+        near = [(s, -j) for s, j in near if s > 1e-12]
+        weights = [1 / (1.05 - min(1, s)) for s, _ in near]
+        return (sum(w for w, (_, j) in zip(weights, near) if examples[j][1]) + n[1] / sum(n)) / (sum(weights) + 1) if near else None
+
+    size = [sum(y == z for z in known.values()) for y in (0, 1)]
+    told = [(votes(v, j), examples[j][1]) for j, v in enumerate(vectors)]
+    line = toxicity.isotonic([v for v, _ in told if v is not None], [y for v, y in told if v is not None], [size[y] / n[y] for v, y in told if v is not None])
+    out = [votes(vector(split(t))) for t in texts]
+    return [None if v is None else float(np.interp(v, *line)) for v in out]
+
+
+def toxic_rows(n):
     draw = random.Random(7)
     word = lambda: "".join(draw.choice(["ta", "ri", "mo", "ne", "su", "ka"]) for _ in range(draw.randint(1, 4)))
     rows = []
-    for k in range(900):
+    for k in range(n):
         w = [word() for _ in range(draw.randint(5, 60))]
-        toxic = k % 5 == 0
-        if toxic:
+        if k % 5 == 0:
             for _ in range(3):
-                w.insert(draw.randrange(len(w)), draw.choice(["Grobian!", "nastyx", "vilest", "zork" + word()]))
-        rows.append((k, " ".join(w), int(toxic)))
+                w.insert(draw.randrange(len(w)), draw.choice(["Grobian!", "nastyx", "vilest", "zork"]))
+        rows.append((k, " ".join(w), int(k % 5 == 0)))
+    return rows
+
+
+def test_toxicity_scores(spark):
+    rows = toxic_rows(200)
+    docs = [(i, t) for i, t, _ in rows] + [(7, rows[8][1]), (None, "grobian ta"), (3, None)]
+    labels = [(i, y) for i, _, y in rows] + [(3, 1)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id bigint, toxic int"), F.col("doc_id") % 3 != 0)
+    asked = [t for i, t, _ in rows if i % 3 == 0] + ["zork", "ta ri mo " * 50, "nastyx grobian"]
+    got = [s for s, _ in model.scores(list(toxicity.term_counts(asked)))]
+    assert got == pytest.approx(toxic_brute(docs, labels, lambda i: i % 3 != 0, asked), abs=1e-6)
+
+
+def test_toxicity_held_out(spark):
+    rows = toxic_rows(900)
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(None, None, "x"), (5000, "", "x"), (5001, "ta " * 20000, "x"), (7, rows[7][1], "x")], "doc_id bigint, text string, toxic string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None), (3, 0)], "doc_id bigint, toxic int")
     model = toxicity.fit(docs, labels, labels.doc_id % 3 != 0)
-    scored = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.scorer(model)(docs.text).alias("s")).collect()}
-    held = [(scored[i] >= 0.5, bool(y)) for i, _, y in rows if i % 3 == 0]
+    scored = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.scorer(model, spark)(docs.text).alias("s")).collect()}
+    held = [(scored[i].score >= 0.5, bool(y)) for i, _, y in rows if i % 3 == 0]
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
-    assert all(0 <= s <= 1 for s in scored.values()) and scored[None] < 0.5 and scored[5000] == scored[None]
+    assert all(0 <= s.score <= 1 for s in scored.values()) and scored[None].score < 0.5 and scored[5000] == scored[None]
+    assert scored[0].evidence[0].toxic == 1 and len(scored[0].evidence) == toxicity.EVIDENCE and scored[5000].evidence == []
     kept = toxicity.reject_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.filter("text = ''").count() == 1
-    toxic = next(t for _, t, y in rows if y)
-    counts = next(toxicity.term_counts([toxic]))
-    found = model.evidence([(toxicity.OTHER, toxicity.rounded(int(counts[1].sum()))), *zip(counts[0].tolist(), counts[1].tolist())])
-    assert found and found[0][1] == 1
     nothing = toxicity.fit(docs, labels.limit(0))
-    assert nothing.score(()) == 0.25
+    assert next(nothing.scores(list(toxicity.term_counts(["ta"])))) == (0.25, [])
+    assert toxicity.reject_toxic(docs.limit(0), labels).count() == 0 and toxicity.reject_toxic(docs.limit(0), labels.limit(0)).count() == 0
 
 
 def test_companding_tables():
