@@ -5,8 +5,8 @@ aggregation that collapses copies before the shuffle. All occurrences but the fi
 any removed window covers it. The first occurrence is the least by doc_id, then text hash, then position.
 
 Defined cases: a null text has 0 lines and stays null; a text of fewer than three lines stays as it is; windows of three
-empty lines don't count; null ids come last; rows that repeat both id and text count as one document and come out alike;
-an empty table gives no rows; other columns don't matter.
+empty lines don't count; null ids come last; of rows that repeat both id and text one is first, and the others lose all
+their windows; a very long text is one row throughout; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -35,7 +35,17 @@ def windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_lines, n_removed and text without the removed lines, for each row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+    same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of"))
+    twice = docs.filter("text IS NOT NULL").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_of")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    twice = put(twice, "line-twice")
+    again = None
+    if not twice.isEmpty():
+        rows = put(docs.join(small(twice), same_row, "left_semi").withColumn("_n", F.monotonically_increasing_id()), "line-rows")
+        first = put(rows.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_of")).agg(F.min("_n").alias("_first")), "line-first")
+        rows = rows.join(small(first), same_row)
+        again = rows.filter("_n != _first").select("doc_id", "text", "_text")
+        docs = docs.join(small(twice), same_row, "left_anti").unionByName(rows.filter("_n = _first").select("doc_id", "text", "_text"))
     found = put(windows(docs, span), "line-windows")
     # min() skips nulls: any document with an id is before those without.
     repeated = put(found.groupBy("_h", "_g").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "line-repeated")
@@ -45,8 +55,12 @@ def dedup_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
     within = hits.filter(same).join(small(origin), ["_h", "_g"]).filter((F.col("_origin._text") != F.col("_text")) | (F.col("_origin._pos") != F.col("_pos")))
     later = hits.filter(~same).select("doc_id", "_text", "_pos").unionByName(within.select("doc_id", "_text", "_pos"))
     gone = put(later.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_of")).agg(F.collect_set("_pos").alias("_at")), "line-gone")
-    joined = docs.withColumn("_text", F.xxhash64("text")).join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left")
+    joined = docs.join(small(gone), same_row, "left").select("doc_id", "text", "_at")
     lines = F.split(F.col("text"), "\n", -1)
+    if again is not None:
+        full = lambda i: ~F.concat(*[F.get(lines, i + k) for k in range(span)]).eqNullSafe("")
+        every = F.when(F.size(lines) >= span, F.filter(F.sequence(F.lit(0), F.size(lines) - span), full))
+        joined = joined.unionByName(again.select("doc_id", "text", every.alias("_at")))
     cover = F.flatten(F.transform(F.col("_at"), lambda p: F.sequence(p, p + (span - 1))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), cover)
     return joined.withColumn("_lines", lines).withColumn("_stay", F.when(F.col("_at").isNotNull(), stay)).select(

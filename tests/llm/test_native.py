@@ -114,6 +114,13 @@ def brute_lines(rows, span=3):
     return out
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\na\nb\nc"), (3, "p\n\n\n\nq"), (3, "p\n\n\n\nq"), (3, "p\n\n\n\nq"), (4, "m\nn"), (4, "m\nn"), (5, None), (5, None), (None, "u\nv\nw"), (None, "u\nv\nw")]
+    got = Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    want = brute_lines(rows)
+    assert got == Counter((i, want[k]) for k, (i, _) in enumerate(rows))
+
+
 def test_line_dedup(spark):
     rows = [
         (1, "a\nb\nc\nd\ne"), (2, "x\nb\nc\nd\ny"), (3, "a\nb\nc\na\nb\nc\nz"), (4, "a\nb"), (5, None), (6, ""), (7, "\n\n\n\n\n"), (8, "\n\n\n\n\n"), (9, "b\nc\nd\ne\nnew"),
