@@ -8,7 +8,8 @@ finds its place from its rank among pieces of its length; ranks are counted in s
 length that a third of all pieces have is no larger a task.
 
 Defined cases: a null text counts as empty; an empty document is its end id alone; rows that repeat a doc_id are packed
-each; a null doc_id stays null; an empty table gives no rows; other columns don't matter.
+each; a null doc_id stays null; a very long text is encoded in one row and cut; an empty table gives no rows; other
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import put, table
+from corvane.llm.common import put, small, table
 
 CAPACITY = 2048
-#: Parts in which the pieces of one length are counted.
-SALTS = 64
+#: Pieces of one length that a task ranks, about.
+PART_PIECES = 1 << 16
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -91,18 +92,19 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
     return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
     """found, a written table of PIECES, with sequence_id and offset."""
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
-    salted = found.withColumn("_part", part)
-    # At most capacity * salts rows, whatever the input.
+    histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    runs = sorted(plan(histogram, capacity))
+    parts = found.sparkSession.createDataFrame([(x, 1 + n // part_pieces) for x, n in histogram.items()], "length bigint, _parts bigint")
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_parts"))
+    salted = found.join(F.broadcast(parts), "length").withColumn("_part", part).drop("_parts")
+    # At most a row for each length and each part_pieces pieces.
     counts = put(salted.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")), "pack-counts")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    runs = sorted(plan(histogram, capacity))
+    starts = put(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "pack-starts")
     within = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_row", F.row_number().over(within)).join(F.broadcast(starts), ["length", "_part"])
+    ranked = salted.withColumn("_row", F.row_number().over(within)).join(small(starts), ["length", "_part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_row") - 1).alias("_rank"))
     columns = [[r[k] for r in runs] for k in range(5)]
 

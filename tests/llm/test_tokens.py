@@ -88,6 +88,9 @@ def test_packing(spark):
     key = lambda r: tuple((x is not None, x) for x in r)
     assert sorted([tuple(r)[:5] for r in rows], key=key) == sorted(want, key=key)
     assert check_bins(rows, 50) <= -(-sum(r.length for r in rows) // 50) + 1
+    found = packing.put(packing.pieces(docs, FILES["word_bpe_49k.json"], 0, 50), "t")
+    parted = packing.pack(found, 50, 2).collect()
+    assert check_bins(parted, 50) == check_bins(rows, 50) and sorted([tuple(r)[:5] for r in parted], key=key) == sorted(want, key=key)
     assert packing.pack_documents(docs.limit(0), FILES["word_bpe_49k.json"]).count() == 0
 
 
