@@ -7,7 +7,9 @@ import struct
 
 import numpy as np
 
-BLOCK_WORDS = 8  # 512 bits
+BLOCK_WORDS = 4  # 256 bits
+#: Of each byte, the place of its k-th one, for k from 0 to 7.
+IN_BYTE = np.array([([n for n in range(8) if byte >> n & 1] + [0] * 8)[:8] for byte in range(256)], np.int64).reshape(-1)
 
 
 def pack(arrays: dict[str, np.ndarray], **told: int | float) -> bytes:
@@ -43,7 +45,7 @@ class EliasFano:
 
     def __init__(self, arrays: dict[str, np.ndarray], told: dict, name: str):
         self.n, self.bits, self.buckets = (int(told[f"{name}_{k}"]) for k in ("n", "bits", "buckets"))
-        self.low, self.high, self.zeros = (arrays[f"{name}_{k}"] for k in ("low", "high", "zeros"))
+        self.low, self.high, self.zeros, self.ones = (arrays[f"{name}_{k}"] for k in ("low", "high", "zeros", "ones"))
 
     @staticmethod
     def build(values: np.ndarray, universe: int, name: str) -> tuple[dict[str, np.ndarray], dict]:
@@ -57,15 +59,16 @@ class EliasFano:
         unary[high + np.arange(n)] = 1
         words = _words(unary)
         words = np.concatenate((words, np.zeros(-len(words) % BLOCK_WORDS, np.uint64)))
-        ones = np.bitwise_count(words).reshape(-1, BLOCK_WORDS).sum(1, dtype=np.int64)
-        zeros = np.concatenate(([0], np.cumsum(64 * BLOCK_WORDS - ones)[:-1]))
+        inside = np.bitwise_count(words).reshape(-1, BLOCK_WORDS).sum(1, dtype=np.int64)
+        ones = np.concatenate(([0], np.cumsum(inside)[:-1]))  # before each block
+        zeros = np.arange(len(ones)) * (64 * BLOCK_WORDS) - ones
         packed = []
         for k in range(0, n, 1 << 16):  # a multiple of 64 values fills whole words
             part = v[k : k + (1 << 16), None] >> np.arange(bits, dtype=np.uint64)[None, :] & np.uint64(1)
             packed.append(np.packbits(part.astype(np.uint8).reshape(-1), bitorder="little"))
         raw = np.concatenate([*packed, np.zeros(0, np.uint8)])
         low = np.concatenate((raw, np.zeros(-len(raw) % 8 + 16, np.uint8))).view(np.uint64)
-        return {f"{name}_low": low, f"{name}_high": words, f"{name}_zeros": zeros.astype(np.uint64)}, {f"{name}_n": n, f"{name}_bits": bits, f"{name}_buckets": buckets}
+        return {f"{name}_low": low, f"{name}_high": words, f"{name}_zeros": zeros, f"{name}_ones": ones}, {f"{name}_n": n, f"{name}_bits": bits, f"{name}_buckets": buckets}
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -77,7 +80,7 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Positions of the k-th ones or zeros, from 0."""
-        before = np.arange(len(self.zeros)) * (64 * BLOCK_WORDS) - self.zeros.astype(np.int64) if one else self.zeros.astype(np.int64)
+        before = self.ones if one else self.zeros
         block = np.searchsorted(before, k, "right") - 1
         left, word = k - before[block], block * BLOCK_WORDS
         bits = self.high[word] if one else ~self.high[word]
@@ -88,14 +91,28 @@ class EliasFano:
                 break
             left, word = left - np.where(on, count, 0), word + on
             bits = self.high[word] if one else ~self.high[word]
-        at = np.zeros(len(k), np.uint64)
-        for width in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
-            on = left >= count
-            left = left - np.where(on, count, 0)
-            shift = np.where(on, np.uint64(width), np.uint64(0))
-            bits, at = bits >> shift, at + shift
-        return word * 64 + at.astype(np.int64)
+        # Sums over the bytes so far, side by side in a word; those not above what is left come before the byte sought.
+        sums = bits - (bits >> np.uint64(1) & np.uint64(0x5555555555555555))
+        sums = (sums & np.uint64(0x3333333333333333)) + (sums >> np.uint64(2) & np.uint64(0x3333333333333333))
+        sums = (sums + (sums >> np.uint64(4)) & np.uint64(0x0F0F0F0F0F0F0F0F)) * np.uint64(0x0101010101010101)
+        high = np.uint64(0x8080808080808080)
+        passed = (left.astype(np.uint64) * np.uint64(0x0101010101010101) | high) - sums & high
+        shift = np.bitwise_count(passed).astype(np.uint64) << np.uint64(3)
+        left = left - (sums << np.uint64(8) >> shift & np.uint64(255)).astype(np.int64)
+        byte = (bits >> shift & np.uint64(255)).astype(np.int64)
+        return word * 64 + shift.astype(np.int64) + IN_BYTE[byte * 8 + left]
+
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First element of each bucket, and the one after its last."""
+        at = np.where(high > 0, self._select(np.maximum(high - 1, 0), False), -1) + 1  # where its ones begin
+        start, word, shift = at - high, at >> 6, (at & 63).astype(np.uint64)
+        bits = self.high[word] >> shift
+        run = np.bitwise_count(bits & ~(bits + np.uint64(1))).astype(np.int64)  # ones from there, in this word
+        stop = start + run
+        on = np.flatnonzero(run + shift.astype(np.int64) == 64)
+        if len(on):
+            stop[on] = self._select(high[on], False) - high[on]
+        return start, stop
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
@@ -108,14 +125,14 @@ class EliasFano:
         high, mask = (x >> np.uint64(self.bits)).astype(np.int64), np.uint64((1 << self.bits) - 1)
         inside = high < self.buckets
         high, low = np.where(inside, high, 0), x & mask
-        stop = self._select(high, False) - high  # ones before the end of the bucket
-        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - (high - 1), 0)
-        start = np.where(high > 0, start, 0)
-        a, b = start, stop
-        while (open_ := a < b).any():  # the first element of the bucket that isn't below x
-            mid = np.minimum(a + b >> 1, self.n - 1)
-            less = open_ & (self._low(mid) < low)
-            a, b = np.where(less, mid + 1, a), np.where(open_ & ~less, mid, b)
+        a, stop = self._bucket(high)
+        end, open_ = stop.copy(), np.flatnonzero(a < stop)
+        while len(open_):  # the first element of the bucket that isn't below x
+            mid = a[open_] + end[open_] >> 1
+            less = self._low(mid) < low[open_]
+            a[open_] = np.where(less, mid + 1, a[open_])
+            end[open_] = np.where(less, end[open_], mid)
+            open_ = open_[a[open_] < end[open_]]
         hit = inside & (a < stop)
         hit &= self._low(np.minimum(a, self.n - 1)) == low
         return np.where(hit, a, -1)

@@ -82,6 +82,18 @@ def test_language_model(spark):
     assert [r.score for r in ngram_lm.score(docs.limit(2), none).collect()] == [0.0, 0.0]
 
 
+def test_language_model_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 300)
+    draw = random.Random(8)
+    say = lambda: " ".join(f"w{int(draw.paretovariate(0.7)) % 200}" for _ in range(draw.randint(0, 40)))
+    train, asked = [say() for _ in range(150)], [say() for _ in range(40)]
+    trie = ngram_lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3))
+    assert trie.shards >= 4
+    got = {r.doc_id: r for r in ngram_lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), trie).collect()}
+    for k, (tokens, known, base, score) in enumerate(lm_brute(train, asked)[1]):
+        assert (got[k].n_tokens, got[k].n_known) == (tokens, known) and got[k].base_score == pytest.approx(base) and abs(got[k].score - score) <= 0.05 * tokens
+
+
 def test_language_model_keeps_what_is_seen_once(spark):
     train, asked = ["one two three four", "one two five", "five six"], ["one two three", "one two five", "two three four", "five six seven", "six one"]
     trie = ngram_lm.train(spark.createDataFrame([(t,) for t in train], "text string"))
