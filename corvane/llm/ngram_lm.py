@@ -36,7 +36,7 @@ from corvane.llm.common import crc_mod, put, scratch, table
 LEAST = 1
 DISCOUNT = 0.75
 #: Tokens that a task sums at a time, and that a shard of level 2 or 3 is for.
-RUN_TOKENS, SHARD_TOKENS = 4_000_000, 4_000_000
+RUN_TOKENS, SHARD_TOKENS = 3_000_000, 2_000_000
 WORD_SHARDS = 64
 #: Steps of a tenfold, of 255 at most, in quantised probabilities and back-offs.
 PROB_STEPS, BACK_STEPS = 24, 64
@@ -128,7 +128,7 @@ def _count(texts: DataFrame, keys_of: Callable, shard_of: Callable, shards: int,
                     held = []
                 now = int(shard)
                 held.append(_unpacked(run))
-                if sum(len(k) for k, _ in held) > 2 * RUN_TOKENS and len(held) > 8:
+                if sum(len(k) for k, _ in held) > 2 * SHARD_TOKENS and len(held) > 8:
                     held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
         if held:
             yield done()
