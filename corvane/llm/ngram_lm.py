@@ -38,6 +38,8 @@ DISCOUNT = 0.75
 #: Tokens that a task sums at a time, and that a shard of level 2 or 3 is for.
 RUN_TOKENS, SHARD_TOKENS = 3_000_000, 2_000_000
 WORD_SHARDS = 64
+#: Megabytes of text whose tokens are looked up at once.
+CHUNKS = 3
 #: Steps of a tenfold, of 255 at most, in quantised probabilities and back-offs.
 PROB_STEPS, BACK_STEPS = 24, 64
 END = 0x27D4EB2F165667C5  # stands for the end among the words' hashes
@@ -49,7 +51,7 @@ def _streams(texts: list[str | None]):
 
     from corvane.llm.wordhash import words
 
-    for hashes, bounds in words(texts):
+    for hashes, bounds in words(texts, chunks=CHUNKS):
         n = len(bounds) - 1
         ends = bounds[1:] + np.arange(n)
         tokens = np.full(len(hashes) + n, END, np.uint64)

@@ -95,12 +95,14 @@ def _pieces(data: bytes, separators: np.ndarray) -> Iterator[bytes]:
         at = end
 
 
-def words(texts: list[str | None], separators: np.ndarray = WHITE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For runs of texts, in order: the hashes of all their words, and bounds, where text k of the run has words bounds[k] to bounds[k + 1]."""
+def words(texts: list[str | None], separators: np.ndarray = WHITE, chunks: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of texts, in order: the hashes of all their words, and bounds, where text k of the run has words bounds[k] to bounds[k + 1].
+
+    chunks: how many of CHUNK_BYTES a run may have."""
     run, size = [], 0
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass").lower()
-        if run and size + len(data) + 1 > CHUNK_BYTES:
+        if run and size + len(data) + 1 > chunks * CHUNK_BYTES:
             yield _run(run, separators)
             run, size = [], 0
         if len(data) > CHUNK_BYTES:
