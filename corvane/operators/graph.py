@@ -83,7 +83,9 @@ def resolve_contraindications(from_graph: DataFrame, local: DataFrame, qkey: str
 
 
 def subgraph(edges: DataFrame, focus: DataFrame) -> DataFrame:
-    """Out-edges of the focus names."""
+    """Out-edges of the focus names; without any name the whole graph."""
+    if focus.isEmpty():
+        return edges
     return edges.join(focus.select(F.col("name").alias("src")), "src", "left_semi")
 
 

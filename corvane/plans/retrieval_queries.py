@@ -161,19 +161,20 @@ QUERIES = {
     )
 }
 
-_BM25 = r"""
-    tok AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+_TERMS = r"""
+    tok AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
     st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
-    p AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM tok) GROUP BY ALL),
+    p AS MATERIALIZED (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM tok) GROUP BY ALL),
     d0 AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-    d1 AS (SELECT term, df, n, avgdl, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM d0, st),
-    ts AS (SELECT term, df, n, avgdl, CASE WHEN raw < 0 THEN (SELECT avg(raw) FROM d1) * 0.25::DOUBLE ELSE raw END AS idf FROM d1),
-    qt AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM benchmark) GROUP BY ALL),
+    d1 AS MATERIALIZED (SELECT term, df, n, avgdl, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM d0, st),
+    ts AS (SELECT term, df, n, avgdl, CASE WHEN raw < 0 THEN (SELECT avg(raw) FROM d1) * 0.25::DOUBLE ELSE raw END AS idf FROM d1)"""
+_BM25 = rf"""{_TERMS},
+    qt AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS term FROM benchmark) GROUP BY ALL),
     sc AS (SELECT item_id, doc_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS raw FROM p JOIN ts USING (term) JOIN qt USING (term) GROUP BY ALL),
     al AS (SELECT b.item_id, d.doc_id, coalesce(raw, 0) AS raw FROM benchmark b CROSS JOIN documents d LEFT JOIN sc ON sc.item_id = b.item_id AND sc.doc_id = d.doc_id),
     nm AS (SELECT item_id, doc_id, raw, (raw - min(raw) OVER w) / CASE WHEN max(raw) OVER w <> min(raw) OVER w THEN max(raw) OVER w - min(raw) OVER w ELSE 1 END AS score,
                   row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 9) DESC, doc_id) AS rank FROM al WINDOW w AS (PARTITION BY item_id)),
-    hits AS (SELECT item_id, doc_id, score, rank FROM nm WHERE rank <= {k})"""
+    hits AS (SELECT item_id, doc_id, score, rank FROM nm WHERE rank <= {{k}})"""
 _PATHS = """
     paths AS (SELECT item_id, doc_id, 'bm25' AS path, score FROM hits UNION ALL SELECT item_id, doc_id, 'vector', rank / 12.0::DOUBLE FROM hits WHERE rank <= 10)"""
 _LQ = "lq AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label)"
@@ -194,7 +195,7 @@ def _weights_sql() -> str:
 
 
 ORACLE = {
-    "bm25_stats": f"WITH {_BM25.replace("{k}", "15")} SELECT term, df, round(idf, 6) AS idf FROM ts",
+    "bm25_stats": f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM ts",
     "bm25_topk": f"WITH {_BM25.replace("{k}", "15")} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM hits",
     "vector_topk": f"""WITH {_LQ}, s AS (SELECT lq.label, vec_id, {_COS} AS score FROM lq, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
         r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT label, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 15""",
