@@ -10,7 +10,7 @@ k-th best so far. The examples vote by closeness, beside one vote of the classes
 turn calibrates the votes by isotonic regression at the labels' true class sizes; a score is read from that line.
 
 The model (arrays of terms and postings, as large as the examples' texts) is a file in the shared folder, which every
-Python worker maps.
+Python worker maps. One task makes it from the bounded examples; neither these nor their terms come to the driver.
 
 Defined cases: null and empty texts, and texts without any term, get the share among examples without terms; an empty
 documents table gives no rows; without labels every score is 0.25; of rows that repeat a labelled id the least text
@@ -21,7 +21,7 @@ whatever their names, don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import batched
 
 import pandas as pd
@@ -183,6 +183,7 @@ class Model:
         self.arrays, self.told, self.k = arrays, told, neighbours
         self.terms, self.factors, self.ids, self.toxic = (arrays[n] for n in ("terms", "factors", "ids", "toxic"))
         self.index = BlockMaxIndex(arrays, int(told["block"]))
+        self.path: str | None = None
 
     @staticmethod
     def fit(terms, factors, examples: list[tuple], class_sizes: tuple[int, int], neighbours: int = NEIGHBOURS, block: int = BLOCK) -> Model:
@@ -241,13 +242,19 @@ class Model:
             score = float(np.interp(votes, line, self.arrays["line_rates"])) if len(line) else self.told["prior"]
             yield min(1.0, max(0.0, score)), [(int(self.ids[n]), int(self.toxic[n]), min(1.0, float(c))) for c, n in zip(cosines, numbers, strict=True)]
 
-    def save(self, spark: SparkSession) -> str:
+    def packed(self) -> bytes:
         from corvane.llm.elias_fano import pack
+
+        return pack(self.arrays, **self.told)
+
+    def save(self, spark: SparkSession) -> str:
+        """The model's file; one that came from a file is there already."""
         from corvane.llm.files import write_file
 
-        path = f"{scratch(spark, 'toxic-model')}/model"
-        write_file(path, pack(self.arrays, **self.told))
-        return path
+        if self.path is None:
+            self.path = f"{scratch(spark, 'toxic-model')}/model"
+            write_file(self.path, self.packed())
+        return self.path
 
     @staticmethod
     def load(path: str) -> Model:
@@ -258,6 +265,7 @@ class Model:
         if path not in _loaded:
             _loaded.clear()
             _loaded[path] = Model(*unpack(map_file(path)))
+            _loaded[path].path = path
         return _loaded[path]
 
 
@@ -275,13 +283,16 @@ def _terms_of(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(count, "id bigint, toxic int, terms binary, counts binary")
 
 
-def document_frequencies(docs: DataFrame, terms):
-    """How many rows of docs (text) there are, and how many of them hold each of terms (ascending hashes)."""
+def document_frequencies(docs: DataFrame, dictionary: str) -> DataFrame:
+    """Rows (slice, df as bytes): how many rows of docs (text) hold each term of the dictionary's file, SLICE terms a row; in slice -1 how many rows there are."""
     import numpy as np
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from corvane.llm.elias_fano import unpack
+        from corvane.llm.files import map_file
         from corvane.llm.wordhash import NOT_ALNUM, words
 
+        terms = unpack(map_file(dictionary))[0]["terms"]
         df, n = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             n += len(batch)
@@ -302,32 +313,74 @@ def document_frequencies(docs: DataFrame, terms):
         yield pd.DataFrame([(k, part.tobytes()) for k, part in sums.items()], columns=["slice", "df"])
 
     kind = "slice int, df binary"
-    rows = docs.select("text").mapInPandas(count, kind).repartition("slice").mapInPandas(add, kind).collect()  # 8 bytes a term
-    parts = {r["slice"]: np.frombuffer(r["df"], np.int64) for r in rows}
-    zero = np.zeros(len(terms), np.int64)
-    return int(parts[-1][0]) if parts else 0, np.concatenate([parts[k] for k in range(0, len(terms), SLICE)]) if parts and len(terms) else zero
+    return docs.select("text").mapInPandas(count, kind).repartition("slice").mapInPandas(add, kind)
+
+
+def _write_once(rows: DataFrame, path: str, made: Callable[[list[tuple]], bytes]) -> None:
+    """One task makes the file of all rows, which are bounded by the examples. Files appear whole, so a lost task is run again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from corvane.llm.files import write_file
+
+        write_file(path, made([row for batch in batches for row in batch.itertuples(index=False, name=None)]))
+        yield pd.DataFrame({"done": [True]})
+
+    rows.repartition(1).mapInPandas(run, "done boolean").collect()
+
+
+#: In the column toxic: a row of document frequencies, and the row that is there even if nothing else is.
+_FREQUENCY, _MARK = -1, -2
+
+
+def _examples(rows: list[tuple]) -> list[tuple]:
+    import numpy as np
+
+    return [(i, y, np.frombuffer(t, np.int64), np.frombuffer(n, np.int64)) for i, y, t, n in sorted(r for r in rows if r[1] >= 0)]
+
+
+def _terms(held: list[tuple]):
+    import numpy as np
+
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *(e[2] for e in held)]))
+
+
+def _fitted(rows: list[tuple], sizes: tuple[int, int]) -> Model:
+    """The model of rows (examples and document frequencies) and the numbers of clean and toxic labels."""
+    import numpy as np
+
+    held = _examples(rows)
+    terms = _terms(held)
+    seen = [np.bincount(np.searchsorted(terms, np.concatenate([np.zeros(0, np.int64), *(e[2] for e in held if e[1] == y)])), minlength=len(terms)) for y in (0, 1)]
+    parts = {r[0]: np.frombuffer(r[2], np.int64) for r in rows if r[1] == _FREQUENCY}
+    n_docs = int(parts[-1][0]) if parts else 0
+    df = np.concatenate([parts[k] for k in range(0, len(terms), SLICE)]) if parts and len(terms) else np.zeros(len(terms), np.int64)
+    idf = np.log((n_docs + 1) / (df + 0.5)) + 1
+    g = unevenness(seen[1], seen[0], sum(e[1] for e in held), sum(1 - e[1] for e in held))
+    return Model.fit(terms, idf * g, held, sizes)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, examples: int = EXAMPLES) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic. train: which ids may be learned from (of labels' doc_id)."""
-    import numpy as np
+    from corvane.llm.elias_fano import pack
 
+    spark = docs.sparkSession
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.filter(train) if train is not None else known
     known = put(known.groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max((F.col("toxic") >= 1).cast("int")).alias("toxic")), "toxic-labels")
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = counted.get(0, 0), counted.get(1, 0)
     drawn = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(examples) for y in (0, 1)]
     chosen = put(drawn[0].unionByName(drawn[1]), "toxic-chosen")  # at most 2 * examples rows
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("id", "toxic").agg(F.min("text").alias("text"))
-    rows = sorted(tuple(r) for r in _terms_of(texts).collect())  # the bounded sample
-    held = [(i, y, np.frombuffer(t, np.int64), np.frombuffer(n, np.int64)) for i, y, t, n in rows]
-    every = [np.concatenate([np.zeros(0, np.int64), *(e[2] for e in held if e[1] == y)]) for y in (0, 1)]
-    terms = np.unique(np.concatenate(every))
-    seen = [np.bincount(np.searchsorted(terms, e), minlength=len(terms)) for e in every]
-    n_docs, df = document_frequencies(docs, terms)
-    idf = np.log((n_docs + 1) / (df + 0.5)) + 1
-    g = unevenness(seen[1], seen[0], sum(e[1] for e in held), sum(1 - e[1] for e in held))
-    return Model.fit(terms, idf * g, held, (sizes.get(0, 0), sizes.get(1, 0)))
+    rows = put(_terms_of(texts), "toxic-examples")  # the bounded sample
+    root = scratch(spark, "toxic-model")
+    dictionary, path = f"{root}/terms", f"{root}/model"
+    row = lambda i, y, data: [i.cast("bigint").alias("id"), F.lit(y).alias("toxic"), data.alias("terms"), F.lit(None).cast("binary").alias("counts")]
+    mark = spark.range(1).select(*row(F.col("id"), _MARK, F.lit(None).cast("binary")))
+    _write_once(rows.unionByName(mark), dictionary, lambda told: pack({"terms": _terms(_examples(told))}))
+    frequencies = put(document_frequencies(docs, dictionary), "toxic-frequencies").select(*row(F.col("slice"), _FREQUENCY, F.col("df")))
+    _write_once(rows.unionByName(frequencies).unionByName(mark), path, lambda told: _fitted(told, sizes).packed())
+    return Model.load(path)
 
 
 def scorer(model: Model, spark: SparkSession, evidence: int = EVIDENCE):
