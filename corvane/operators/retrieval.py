@@ -37,7 +37,11 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df and idf; a negative idf becomes a share of the mean over all terms, negative ones included."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
+    return _idf(posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
+
+
+def _idf(df: DataFrame, stats: DataFrame) -> DataFrame:
+    df = df.crossJoin(F.broadcast(stats))  # stats is one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw"))
@@ -47,22 +51,29 @@ def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, qkey: str, key: str, k: int = 15) -> DataFrame:
     """qkey, key, score (min-max normalised over all documents) and rank of each query's k best documents.
 
-    Documents without a query term score 0 and only come in where fewer than k have one; they aren't joined to queries that don't need them."""
-    posted = postings(docs, key).persist(StorageLevel.MEMORY_AND_DISK)  # read for dfs, lengths and hits; spills, and is made anew if lost
-    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_t"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(total).select("n", (F.col("_t") / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl"))
+    Documents without a query term score 0 and only come in where fewer than k have one; then the least keys do, as many as can be needed.
+    Only the queries' terms have postings; of the others no more than the number of their documents is counted, for the mean idf."""
+    size = F.greatest(F.coalesce(F.size("_w"), F.lit(0)), F.lit(0)).cast("bigint")
+    tokens = docs.select(key, words(F.col("text")).alias("_w"))
+    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("avgdl"))
     wanted = queries.select(qkey, F.explode(words(F.col("text"))).alias("term")).groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("times"))
-    # Only the queries' terms are scored; the mean idf still needs every term's.
-    hits = posted.join(term_stats(posted, stats), "term").join(wanted, "term")
+    terms = wanted.select("term").distinct()
+    terms = F.broadcast(terms) if _stated(terms) else terms
+    posted = tokens.select(key, size.alias("dl"), F.explode("_w").alias("term")).join(terms, "term", "left_semi").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    idf = _idf(tokens.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats).join(terms, "term", "left_semi")
+    hits = posted.join(idf, "term").join(wanted, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy(qkey, key, "n").agg(F.sum(part).alias("raw"))
+    scored = hits.groupBy(qkey, key, "n").agg(F.sum(part).alias("raw")).persist(StorageLevel.MEMORY_AND_DISK)  # read for spreads, pads and the best; spills, and is made anew if lost
     spread = scored.groupBy(qkey, "n").agg(F.min("raw").alias("low"), F.max("raw").alias("high"), F.count(F.lit(1)).alias("matched"))
     zero = F.col("matched") < F.col("n")
     spread = spread.withColumns({"low": F.when(zero, F.least("low", F.lit(0.0))).otherwise(F.col("low")), "high": F.when(zero, F.greatest("high", F.lit(0.0))).otherwise(F.col("high"))})
-    positive = scored.groupBy(qkey).agg(F.sum((F.col("raw") > 0).cast("int")).alias("positive"))
-    short = queries.select(qkey).join(positive, qkey, "left").filter(F.coalesce("positive", F.lit(0)) < k).select(qkey)
-    pads = short.crossJoin(docs.select(key)).join(scored.select(qkey, key), [qkey, key], "left_anti").withColumn("raw", F.lit(0.0))
-    best = top_k(scored.select(qkey, key, "raw").unionByName(pads), [qkey], [F.desc(F.round("raw", 9)), F.asc(key)], k)
+    told = scored.groupBy(qkey).agg(F.sum((F.col("raw") > 0).cast("int")).alias("positive"), F.count(F.lit(1)).alias("matched"))
+    short = queries.select(qkey).join(told, qkey, "left").filter(F.coalesce("positive", F.lit(0)) < k).select(qkey, F.coalesce("matched", F.lit(0)).alias("matched"))
+    most, rows = short.agg(F.max("matched")).first()[0], scored.select(qkey, key, "raw")
+    if most is not None:  # among k + most documents k aren't matched
+        least = docs.select(key).orderBy(key).limit(k + most)
+        rows = rows.unionByName(short.select(qkey).crossJoin(least).join(scored.select(qkey, key), [qkey, key], "left_anti").withColumn("raw", F.lit(0.0)))
+    best = top_k(rows, [qkey], [F.desc(F.round("raw", 9)), F.asc(key)], k)
     norm = best.join(spread.select(qkey, "low", "high"), qkey, "left")
     width = F.col("high") - F.col("low")
     return norm.select(qkey, key, F.coalesce((F.col("raw") - F.col("low")) / F.when(width != 0, width).otherwise(1.0), F.lit(0.0)).alias("score"), "rank")
@@ -128,6 +139,15 @@ def entity_boost(hits: DataFrame, query_labels: str, doc_labels: str) -> DataFra
     return hits.withColumn("score", F.col("score") * factor)
 
 
+def retrieve(paths: DataFrame, weights: DataFrame, queries: DataFrame, rows: DataFrame, qkey: str, key: str, k: int = 5, factor: int = 2) -> DataFrame:
+    """qkey, key, score and rank: paths (each with more hits than k) fused by weights, factor * k of each query boosted by labels, and the k best.
+
+    queries: qkey, query_labels. rows: key, labels. Both label columns are arrays."""
+    fused = weighted_fusion(paths, weights, qkey, key, k * factor).drop("rank")
+    boosted = entity_boost(fused.join(queries.select(qkey, "query_labels"), qkey).join(rows.select(key, "labels"), key), "query_labels", "labels")
+    return top_k(boosted.select(qkey, key, "score"), [qkey], [F.desc(F.round("score", 9)), F.asc(key)], k)
+
+
 def semantic_dedup(hits: DataFrame, qkey: str, key: str, vector: str = "embedding", limit: float = 0.85, least: int = 3) -> DataFrame:
     """Greedy in order of rank: a hit goes if it is as close as limit to one kept, unless fewer than least are kept. Groups are a query's hits, a bounded list."""
 
