@@ -47,22 +47,41 @@ def vector_topk_ivf(spark: SparkSession, sf: str) -> DataFrame:
     return _r(R.dense_ivf(q, listed, centroids, "label", "vec_id", 15, 4), "score")
 
 
-def _paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Two paths over one list of BM25 hits: itself, and its mirror by rank as a second opinion."""
-    hits = R.bm25(load(spark, sf, "benchmark"), load(spark, sf, "documents"), "item_id", "doc_id").persist()  # a few rows for each query
-    a = hits.select("item_id", "doc_id", F.lit("bm25").alias("path"), "score")
-    b = hits.filter("rank <= 10").select("item_id", "doc_id", F.lit("vector").alias("path"), (F.col("rank") / 12.0).alias("score"))
-    return a.unionByName(b)
+def _paths(spark: SparkSession, sf: str, bm25: int = 15, vector: int = 10, graph: int = 15) -> DataFrame:
+    """Three paths to documents: their words, their vectors (an item asks by the vector of its number), and the edges from an item's source to its documents."""
+    items, docs, e = load(spark, sf, "benchmark"), load(spark, sf, "documents"), load(spark, sf, "embeddings")
+    asked = items.select("item_id").join(e.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
+    seeds = items.select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("src"))
+    relation = F.element_at(F.array(*[F.lit(x) for x in ("forbidden", "rehab", "caution", "other")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    edges = docs.select(F.col("doc_id").alias("edge_id"), F.col("source").alias("src"), F.lit("HAS").alias("rel_type"), relation.alias("relation"))
+    found = [
+        ("bm25", R.bm25(items, docs, "item_id", "doc_id", bm25)), ("vector", R.dense(asked, e, "item_id", "vec_id", vector).withColumnRenamed("vec_id", "doc_id")),
+        ("graph", G.one_hop(seeds, edges, "item_id", graph).withColumnRenamed("edge_id", "doc_id")),
+    ]
+    a, b, c = (hits.select("item_id", "doc_id", F.lit(path).alias("path"), F.col("score").cast("double").alias("score")) for path, hits in found)
+    return a.unionByName(b).unionByName(c)
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return _r(R.rrf(_paths(spark, sf), "item_id", "doc_id"), "score")
 
 
-def weighted_fusion(spark: SparkSession, sf: str) -> DataFrame:
+def _weights(spark: SparkSession, sf: str) -> DataFrame:
     items = load(spark, sf, "benchmark").select("item_id", route_weights(entities(F.col("text"), DICTIONARY)).alias("w"))
-    weights = items.select("item_id", F.explode(F.array(F.struct(F.lit("vector").alias("path"), F.col("w.vector").alias("weight")), F.struct(F.lit("bm25").alias("path"), F.col("w.bm25").alias("weight")))).alias("x")).select("item_id", "x.*")
-    return _r(R.weighted_fusion(_paths(spark, sf), weights, "item_id", "doc_id"), "score")
+    return items.select("item_id", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.col(f"w.{p}").alias("weight")) for p in ("vector", "bm25", "graph")])).alias("x")).select("item_id", "x.*")
+
+
+def weighted_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(R.weighted_fusion(_paths(spark, sf), _weights(spark, sf), "item_id", "doc_id"), "score")
+
+
+def retrieve_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """From words, vectors and edges to the five best: over-fetched, fused, boosted by language and source, cut."""
+    n = F.col("item_id")
+    labels = F.when(n % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("en"), F.concat(F.lit("src"), (n % 20).cast("string"))))
+    queries = load(spark, sf, "benchmark").select("item_id", labels.alias("query_labels"))
+    rows = load(spark, sf, "documents").select("doc_id", F.array("lang", "source").alias("labels"))
+    return _r(R.retrieve(_paths(spark, sf, 25, 25, 15), _weights(spark, sf), queries, rows, "item_id", "doc_id"), "score")
 
 
 def entity_boost(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +175,7 @@ def alias_subgraph(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_stats, bm25_topk, vector_topk, vector_topk_ivf, rrf_fusion, weighted_fusion, entity_boost, semantic_dedup, listwise_parse, parent_expand, context_assembly,
+        bm25_stats, bm25_topk, vector_topk, vector_topk_ivf, rrf_fusion, weighted_fusion, retrieve_topk, entity_boost, semantic_dedup, listwise_parse, parent_expand, context_assembly,
         graph_merge_nodes, graph_one_hop, graph_multi_hop, graph_conflicts, contra_theta_join, alias_subgraph,
     )
 }
@@ -175,10 +194,15 @@ _BM25 = rf"""{_TERMS},
     nm AS (SELECT item_id, doc_id, raw, (raw - min(raw) OVER w) / CASE WHEN max(raw) OVER w <> min(raw) OVER w THEN max(raw) OVER w - min(raw) OVER w ELSE 1 END AS score,
                   row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 9) DESC, doc_id) AS rank FROM al WINDOW w AS (PARTITION BY item_id)),
     hits AS (SELECT item_id, doc_id, score, rank FROM nm WHERE rank <= {{k}})"""
-_PATHS = """
-    paths AS (SELECT item_id, doc_id, 'bm25' AS path, score FROM hits UNION ALL SELECT item_id, doc_id, 'vector', rank / 12.0::DOUBLE FROM hits WHERE rank <= 10)"""
 _LQ = "lq AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label)"
 _COS = "list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v)) + 1e-9)"
+_PATHS = f"""
+    lv AS (SELECT item_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
+    vs AS (SELECT item_id, vec_id AS doc_id, {_COS} AS score FROM lv, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
+    vh AS (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= {{v}}),
+    gs AS (SELECT item_id, doc_id, [1.0, 0.9, 0.7, 0.5][CAST(doc_id % 4 + 1 AS INT)]::DOUBLE AS score FROM benchmark JOIN documents ON source = 'src' || (item_id % 20)),
+    gh AS (SELECT * FROM gs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 15),
+    paths AS (SELECT item_id, doc_id, 'bm25' AS path, score FROM hits UNION ALL SELECT item_id, doc_id, 'vector', score FROM vh UNION ALL SELECT item_id, doc_id, 'graph', score FROM gh)"""
 _EDGES = """
     e AS (SELECT c_custkey + 1000000 AS edge_id, 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 'LIVES' AS rel_type, ['forbidden', 'rehab', 'caution', 'other'][CAST(c_custkey % 4 + 1 AS INT)] AS relation FROM customer
      UNION ALL SELECT n_nationkey + 2000000, 'n' || n_nationkey, 'r' || n_regionkey, 'IN', ['forbidden', 'rehab', 'caution', 'other'][n_nationkey % 4 + 1] FROM nation
@@ -191,7 +215,7 @@ def _weights_sql() -> str:
     from corvane.plans.text_queries import _entity_sql
 
     return f"""ent AS ({_entity_sql()}), cnt AS (SELECT item_id, CASE WHEN injury = '' THEN 0 ELSE len(string_split(injury, ',')) END AS ni, CASE WHEN body_part = '' THEN 0 ELSE len(string_split(body_part, ',')) END AS np FROM ent),
-    wt AS (SELECT item_id, CASE WHEN ni = 0 AND np = 0 THEN 0.40 WHEN ni >= 2 OR (ni >= 1 AND np >= 1) THEN 0.20 ELSE 0.30 END::DOUBLE AS wv, CASE WHEN ni = 0 AND np = 0 THEN 0.35 ELSE 0.25 END::DOUBLE AS wb FROM cnt)"""
+    wt AS (SELECT item_id, CASE WHEN ni = 0 AND np = 0 THEN 0.40 WHEN ni >= 2 OR (ni >= 1 AND np >= 1) THEN 0.20 ELSE 0.30 END::DOUBLE AS wv, CASE WHEN ni = 0 AND np = 0 THEN 0.35 ELSE 0.25 END::DOUBLE AS wb, CASE WHEN ni = 0 AND np = 0 THEN 0.25 WHEN ni >= 2 OR (ni >= 1 AND np >= 1) THEN 0.55 ELSE 0.45 END::DOUBLE AS wg FROM cnt)"""
 
 
 ORACLE = {
@@ -204,13 +228,18 @@ ORACLE = {
         p AS (SELECT a.label, b.label AS ivf FROM lq a, lq b QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY round(list_dot_product(a.q, b.q), 9) DESC, b.label) <= 4),
         s AS (SELECT d.label, d.vec_id, {_COS} AS score FROM d JOIN l USING (vec_id) JOIN p ON p.label = d.label AND p.ivf = l.ivf),
         r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT label, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 15""",
-    "rrf_fusion": f"""WITH {_BM25.replace("{k}", "15")}, {_PATHS}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id, path ORDER BY round(score, 9) DESC, doc_id) AS r FROM paths),
+    "rrf_fusion": f"""WITH {_BM25.replace("{k}", "15")}, {_PATHS.replace("{v}", "10")}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id, path ORDER BY round(score, 9) DESC, doc_id) AS r FROM paths),
         f AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f)
         SELECT item_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5""",
-    "weighted_fusion": f"""WITH {_BM25.replace("{k}", "15")}, {_PATHS}, {_weights_sql()},
-        f AS (SELECT p.item_id, doc_id, sum(CASE path WHEN 'vector' THEN wv ELSE wb END * score) AS score, max(score) FILTER (path = 'vector') AS raw FROM paths p JOIN wt USING (item_id) GROUP BY ALL),
+    "weighted_fusion": f"""WITH {_BM25.replace("{k}", "15")}, {_PATHS.replace("{v}", "10")}, {_weights_sql()},
+        f AS (SELECT p.item_id, doc_id, sum(CASE path WHEN 'vector' THEN wv WHEN 'graph' THEN wg ELSE wb END * score) AS score, max(score) FILTER (path = 'vector') AS raw FROM paths p JOIN wt USING (item_id) GROUP BY ALL),
         k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f WHERE round(score, 9) >= 0.2 OR round(raw, 9) >= 0.4)
         SELECT item_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5""",
+    "retrieve_topk": f"""WITH {_BM25.replace("{k}", "25")}, {_PATHS.replace("{v}", "25")}, {_weights_sql()},
+        f AS (SELECT p.item_id, doc_id, sum(CASE path WHEN 'vector' THEN wv WHEN 'graph' THEN wg ELSE wb END * score) AS score, max(score) FILTER (path = 'vector') AS raw FROM paths p JOIN wt USING (item_id) GROUP BY ALL),
+        k AS (SELECT item_id, doc_id, score FROM f WHERE round(score, 9) >= 0.2 OR round(raw, 9) >= 0.4 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 10),
+        b AS (SELECT item_id, doc_id, score * CASE WHEN item_id % 3 = 0 THEN 1.0 WHEN lang = 'en' OR source = 'src' || (item_id % 20) THEN 1.5 ELSE 0.85 END::DOUBLE AS score FROM k JOIN documents USING (doc_id)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
     "entity_boost": f"""WITH {_BM25.replace("{k}", "15")} SELECT item_id, doc_id, round(score * CASE WHEN item_id % 3 = 0 THEN 1.0 WHEN lang = 'en' OR source = 'src' || (item_id % 20) THEN 1.5 ELSE 0.85 END::DOUBLE, 6) AS score FROM hits JOIN documents USING (doc_id)""",
     "listwise_parse": r"""WITH a AS (SELECT event_id, list_transform(regexp_extract_all(concat_ws(',', props, event_id % 7, user_id % 9), '\d{1,9}'), lambda x: x::INT) AS t FROM events),
         v AS (SELECT event_id, list_filter(t, lambda x: x >= 1 AND x <= 6) || [1, 2, 3, 4, 5, 6] AS w FROM a),
