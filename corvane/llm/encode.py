@@ -18,7 +18,7 @@ from collections.abc import Iterator
 PLAIN_RANGES = ((0x09, 0x0D), (0x20, 0x7E), (0xA1, 0x12F), (0x131, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E))
 CACHE_PIECES = 1_000_000
 #: Characters of text that are split at a time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 
 def _classes(lower: bool) -> tuple[str, str, str]:
@@ -87,8 +87,8 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """The Python worker's own encoder, kept from task to task."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, cache_pieces)
     return _encoders[path]

@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 
 from corvane.llm.common import put, small, table
 
+#: Distinct words whose ids a Python worker keeps; a stage of a pipeline shares its executor's memory with what ran before.
+CACHE_PIECES = 250_000
 CAPACITY = 2048
 #: Pieces of one length that a task ranks, about.
 PART_PIECES = 1 << 16
@@ -79,7 +81,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch["doc_id"], encoder(vocabulary).ids(batch["text"].tolist()), strict=True):
+            for doc, ids in zip(batch["doc_id"], encoder(vocabulary, CACHE_PIECES).ids(batch["text"].tolist()), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]

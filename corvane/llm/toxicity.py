@@ -394,6 +394,7 @@ def scorer(model: Model, spark: SparkSession, evidence: int = EVIDENCE):
             for part in batched(term_counts(texts.tolist()), QUERIES_AT_ONCE):
                 told += [(s, [{"doc_id": i, "toxic": y, "cosine": c} for i, y, c in near[:evidence]]) for s, near in own.scores(list(part))]
             yield pd.DataFrame(told, columns=["score", "evidence"])
+        _loaded.clear()  # the file is mapped again in no time, and later stages need the memory
 
     return F.pandas_udf(score, kind)
 
