@@ -36,25 +36,33 @@ def one_hop(seeds: DataFrame, edges: DataFrame, qkey: str, k: int = 15, scores:
     return hit.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def trails(seeds: DataFrame, edges: DataFrame, qkey: str, depth: int) -> DataFrame:
+def _path_order() -> Column:
+    return F.array_join(F.transform("edge_ids", lambda x: F.lpad(x.cast("string"), 20, "0")), "/")
+
+
+def trails(seeds: DataFrame, edges: DataFrame, qkey: str, depth: int, most: int | None = None) -> DataFrame:
     """All directed trails of 1 to depth (3 at most) edges from the seeds: no edge twice, nodes as often as they come.
 
-    qkey, start, dst, hops, edge_ids and labels. Each hop is an equi-join on the node reached."""
+    qkey, start, dst, hops, edge_ids and labels. Each hop is an equi-join on the node reached.
+    most: of each query no more trails of one length than that are kept and gone on from, the first by edge ids; where there are more, no longer trail is among its first."""
+    first = Window.partitionBy(qkey).orderBy(_path_order())
+    cut = lambda found: found if most is None else found.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
     depth = max(1, min(3, depth))
     e = edges.select(F.col("edge_id").alias("_e"), F.col("src").alias("_s"), F.col("dst").alias("_d"), F.coalesce("relation", "rel_type").alias("_l"))
     now = seeds.distinct().join(e, F.col("src") == F.col("_s")).select(qkey, F.col("src").alias("start"), F.col("_d").alias("dst"), F.array("_e").alias("edge_ids"), F.array("_l").alias("labels"))
+    now = cut(now)
     out = now
     for _ in range(depth - 1):
         step = now.join(e, F.col("dst") == F.col("_s")).filter(~F.array_contains("edge_ids", F.col("_e")))
-        now = step.select(qkey, "start", F.col("_d").alias("dst"), F.concat("edge_ids", F.array("_e")).alias("edge_ids"), F.concat("labels", F.array("_l")).alias("labels"))
+        now = cut(step.select(qkey, "start", F.col("_d").alias("dst"), F.concat("edge_ids", F.array("_e")).alias("edge_ids"), F.concat("labels", F.array("_l")).alias("labels")))
         out = out.unionByName(now)
     return out.withColumn("hops", F.size("edge_ids").cast("bigint"))
 
 
 def multi_hop(seeds: DataFrame, edges: DataFrame, qkey: str, depth: int, k: int = 15, scores: Mapping[str, float] = LABEL_SCORES, forbidden: str = "forbidden") -> DataFrame:
     """The k best trails: the last label's score over the hops; a trail through a forbidden edge scores half as much again, 1 at most. Shorter trails are looked at first, 3 * k of them."""
-    found = trails(seeds, edges, qkey, depth)
-    near = Window.partitionBy(qkey).orderBy("hops", F.array_join(F.transform("edge_ids", lambda x: F.lpad(x.cast("string"), 20, "0")), "/"))
+    found = trails(seeds, edges, qkey, depth, 3 * k)
+    near = Window.partitionBy(qkey).orderBy("hops", _path_order())
     near_by = found.withColumn("seq", F.row_number().over(near).cast("bigint")).filter(F.col("seq") <= 3 * k)
     base = label_score(F.element_at("labels", -1), scores) / F.col("hops")
     score = F.when(F.array_contains("labels", forbidden), F.least(F.lit(1.0), base * FORBIDDEN_BOOST)).otherwise(base)
