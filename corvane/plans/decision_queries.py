@@ -120,6 +120,13 @@ def breaker_replay(spark: SparkSession, sf: str) -> DataFrame:
     return K.replay(e, "user_id", ["s", "event_id"], ["s", "ok"], K.breaker_step, "passed boolean, state string").select("user_id", "event_id", "passed", "state")
 
 
+def cost_windows_reset(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's windows of a day, that start at the first use and again at the first use after their end: requests in each."""
+    e = load(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    started = K.replay(e, "user_id", ["at", "event_id"], ["at"], K.window_step, "start bigint")
+    return started.groupBy("user_id", "start").agg(F.count(F.lit(1)).alias("requests"))
+
+
 def near_duplicates_by_tag(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     return K.replay(c, "conv_id", ["turn"], ["role", "text"], K.noise_by_tag, "duplicate boolean")
@@ -144,7 +151,7 @@ def snapshot_in_force(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        question_rules, refusal_text, answer_cache_key, retry_backoff, request_check, graph_build, forbidden_lookup, action_check, action_reason, answer_citations, answer_cache_fifo, breaker_replay,
+        question_rules, refusal_text, answer_cache_key, retry_backoff, request_check, graph_build, forbidden_lookup, action_check, action_reason, answer_citations, answer_cache_fifo, breaker_replay, cost_windows_reset,
         near_duplicates_by_tag, stream_near_duplicates, snapshot_in_force,
     )
 }
@@ -186,5 +193,9 @@ ORACLE = {
             UNION ALL SELECT q, 2, rank, CASE doc_id % 5 WHEN 3 THEN 'graph' ELSE 'kb' END, CASE doc_id % 5 WHEN 0 THEN 'n' || doc_id WHEN 2 THEN 'kb.txt' WHEN 3 THEN CASE WHEN doc_id % 2 = 0 THEN '图谱·2跳' ELSE '图谱' END END,
                 CASE WHEN doc_id % 5 = 1 THEN doc_id END, 'd' || doc_id || 'x' FROM d WHERE rank <= 5 AND q <> 'src1' AND doc_id % 5 <> 4)
         SELECT q, row_number() OVER (PARTITION BY q ORDER BY p, rank) AS pos, kind, coalesce(source, '') AS source, coalesce(page, 0) AS page, snippet FROM c""",
+    "cost_windows_reset": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t FROM events), w AS (SELECT user_id, min(t) AS start FROM e GROUP BY user_id
+          UNION ALL SELECT w.user_id, min(e.t) FROM w JOIN e ON e.user_id = w.user_id AND e.t >= w.start + 86400000000 GROUP BY w.user_id),
+        s AS (SELECT e.user_id, e.t, max(w.start) AS start FROM e JOIN w ON w.user_id = e.user_id AND w.start <= e.t GROUP BY e.user_id, e.t)
+        SELECT e.user_id, s.start, count(*) AS requests FROM e JOIN s ON s.user_id = e.user_id AND s.t = e.t GROUP BY ALL""",
     "snapshot_in_force": "SELECT n_nationkey, n_regionkey FROM nation",
 }
