@@ -3,7 +3,8 @@
 Both public vocabularies split a text by a pattern before any merge, and the ids of a text are those of its pieces one
 after another. A text made of the characters in PLAIN, on whose classes all Unicode versions agree, is split here by
 the same pattern, and only pieces that aren't in a bounded cache go to the library. Any other text goes to the library
-whole; for a vocabulary in lower case also one with a capital whose lower case isn't in PLAIN, as U+018F with U+0259.
+whole; for a vocabulary in lower case also one with a capital whose lower case isn't in PLAIN, as U+018F with U+0259,
+and for any vocabulary one with a string of its added tokens, which the library takes before it splits.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def _classes(lower: bool) -> tuple[str, str, str]:
 class Encoder:
     """ids(texts) -> for each text the bytes of its ids as little-endian unsigned 32-bit integers.
 
-    A null text counts as empty. (Ids are in the machine's order, little-endian wherever Spark runs here.) Strings that look like special tokens are ordinary text."""
+    A null text counts as empty. (Ids are in the machine's order, little-endian wherever Spark runs here.) Strings of added tokens
+    in a text become their ids, as with the library's own settings."""
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -45,7 +47,6 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache_pieces, self.cache = cache_pieces, {}
         self.lower = spec.get("normalizer") is not None
         plain, letter, number = _classes(self.lower)
@@ -56,12 +57,15 @@ class Encoder:
         else:
             pattern = rf"{tails}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
         self.split, self.odd = re.compile(pattern).findall, re.compile(f"[^{plain}]").search
+        # An added token that is normalised may be found in other cases too.
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE if any(t["normalized"] for t in spec.get("added_tokens", [])) else 0).search
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if self.odd(t) else self.split(t.lower() if self.lower else t) for t in texts]
+        pieces = [None if self.odd(t) or self.added(t) else self.split(t.lower() if self.lower else t) for t in texts]
         cache = self.cache
         new = {p for ps in pieces if ps is not None for p in ps if p not in cache}
         if new:

@@ -35,8 +35,11 @@ def test_capitals_inside_words(name):
         assert np.frombuffer(ids, "<u4").tolist() == PLAIN[name].encode(text, add_special_tokens=False).ids, text
 
 
-def test_special_strings_are_text():
-    assert 50256 not in np.frombuffer(next(ENCODERS["byte_bpe_50k.json"].ids(["<|endoftext|>"])), "<u4")
+@pytest.mark.parametrize("name", FILES)
+def test_strings_of_added_tokens(name):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|startoftext|>Y <|ENDOFTEXT|>", "<|endoftext| >", "<|endoftext|><|endoftext|>'s \n", "<|endof  text|>"]
+    for text, ids in zip(texts, ENCODERS[name].ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == PLAIN[name].encode(text, add_special_tokens=False).ids, text
 
 
 @settings(max_examples=60, deadline=None)
