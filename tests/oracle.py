@@ -16,6 +16,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def rows(frame, columns):
+    # A column of integers with nulls is of floats on one side, of nullable integers on the other.
+    frame = frame.astype({c: "float64" for c in columns if str(frame[c].dtype) == "Int64"})
     return sorted(tuple(str(v) for v in row) for row in frame[columns].itertuples(index=False))
 
 
