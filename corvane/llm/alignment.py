@@ -20,8 +20,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,16 +31,17 @@ from pyspark.sql.window import Window
 
 from corvane.llm.common import put, small, table
 
-#: Units that a Python worker keeps, and characters of them.
-CACHE_UNITS, CACHE_CHARS = 200_000, 8_000_000
+#: Units of a generation that a Python worker keeps, the characters of the longest such, and units that are encoded together.
+CACHE_UNITS, CACHE_CHARS, TOGETHER = 150_000, 64, 2000
 #: Units of a block of documents, about, and documents of it at most.
-BLOCK_UNITS, BLOCK_DOCS = 200_000, 4096
+BLOCK_UNITS, BLOCK_DOCS = 300_000, 4096
 #: Postings of one A id that are dealt together.
 PART_POSTINGS = 1 << 22
 #: Contributions that a task gathers before it sums them.
 GATHERED = 1 << 21
 #: A unit begins at a space after one of these characters, which no tokenizer takes for white space.
-_UNIT = re.compile(r"(?<=[!-~¡-¬®-ɏ]) ")
+_PRINTABLE = re.compile(r"[!-~¡-¬®-ɏ]")
+_UNIT = re.compile(rf"(?<={_PRINTABLE.pattern}) ")
 
 _DOC = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 _POSTING = "a int, b int, n int, docs binary, times binary"
@@ -48,12 +49,13 @@ _FIELDS = [*((c, pa.int64()) for c in ("key", "doc_id", "n_a", "n_b", "n_groups"
 
 
 class Aligner:
-    """unit(text) -> (A ids, B ids, groups) of text with a space before it, or None if a tokenizer changes its bytes."""
+    """Units and their alignments: the groups as text, the numbers of A ids, B ids, groups and links, and each link's A id * width + B id."""
 
     def __init__(self, byte_vocabulary: str, piece_model: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import numpy as np
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -65,71 +67,79 @@ class Aligner:
         byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
         with open(byte_vocabulary, encoding="utf-8") as f:
             entries = json.load(f)
-        self.a_bytes = [b""] * self.a.get_vocab_size()
+        self.a_size = np.zeros(self.a.get_vocab_size(), np.int64)
         for token, i in entries["model"]["vocab"].items():
-            self.a_bytes[i] = bytes(byte[c] for c in token)
+            self.a_size[i] = len(bytes(byte[c] for c in token))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_size, self.width = np.array([len(p) for p in self.b_bytes], np.int64), len(pieces)
+        self.a_said = np.array([[f"{sign}{i}" for i in range(len(self.a_size))] for sign in (",", ";", "\n")], object)
+        self.b_said = np.array([[f"{sign}{i}" for i in range(len(pieces))] for sign in (",", "|")], object)
         # Where a piece may go on over a space, texts are one unit.
         self.units = not any(re.search("[^▁]▁", p) for p in pieces)
 
     def split(self, text: str) -> list[str]:
         return _UNIT.split(text) if self.units else [text]
 
-    def align(self, units: list[str]) -> list[tuple[list[int], list[int], list[tuple[int, int]]] | None]:
-        """For each unit the ids and, for each group, how many ids of A and of B it has."""
-        out, a_bytes, b_bytes = [], self.a_bytes, self.b_bytes
-        encoded = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
-        for unit, a, b in zip(units, (e.ids for e in encoded), self.b.encode(units, num_threads=1), strict=True):
-            whole = b" " + unit.encode()
-            if b"".join([b_bytes[i] for i in b]) != whole or b"".join([a_bytes[i] for i in a]) != whole:
-                out.append(None)
-                continue
-            groups, i, j, n_a, n_b, at_a, at_b = [], 0, 0, len(a), len(b), 0, 0
-            while i < n_a:
-                first_a, first_b = i, j
-                at_a, at_b, i, j = at_a + len(a_bytes[a[i]]), at_b + len(b_bytes[b[j]]), i + 1, j + 1
-                while at_a != at_b:
-                    if at_a < at_b:
-                        at_a, i = at_a + len(a_bytes[a[i]]), i + 1
-                    else:
-                        at_b, j = at_b + len(b_bytes[b[j]]), j + 1
-                groups.append((i - first_a, j - first_b))
-            out.append((a, b, groups))
+    def align(self, units: list[str]) -> list[tuple | None]:
+        """Each unit's alignment, with a space before it, or None if a tokenizer doesn't give it back."""
+        out: list[tuple | None] = [None] * len(units)
+        # Units that end in a printable character can be encoded one after another as one text.
+        alone = [k for k, u in enumerate(units) if not (self.units and u and _PRINTABLE.match(u[-1]))]
+        apart = set(alone)
+        rest = [k for k in range(len(units)) if k not in apart]
+        for part in [*([k] for k in alone), *(rest[k : k + TOGETHER] for k in range(0, len(rest), TOGETHER))]:
+            for k, found in zip(part, self._together([units[k] for k in part]), strict=True):
+                out[k] = found
         return out
 
+    def _together(self, units: list[str]) -> list[tuple | None]:
+        import numpy as np
+
+        text = " ".join(units)
+        a, b = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64), np.array(self.b.encode(text), np.int64)
+        if not len(b) or self.a_size[a].sum() != len(text.encode()) + 1 or b"".join([self.b_bytes[i] for i in b]) != b" " + text.encode():
+            half = len(units) // 2
+            return [None] if not half else self._together(units[:half]) + self._together(units[half:])
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
+        n_a, n_b = np.bincount(group_a), np.bincount(group_b)
+        unit = np.searchsorted(np.cumsum([len(u.encode()) + 1 for u in units]), ends)
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        # Every A token with every B token of its group.
+        times = n_b[group_a]
+        pairs = np.repeat(a * self.width, times) + b[_runs(first_b[group_a], times)]
+        new_unit = np.concatenate(([True], unit[1:] != unit[:-1]))
+        # Text of the groups: ids in order, each with the sign before it.
+        lead = np.zeros(len(a), np.int64)
+        lead[first_a] = np.where(new_unit, 2, 1)
+        said = np.empty(len(a) + len(b), object)
+        said[np.arange(len(a)) + first_b[group_a]] = self.a_said[lead, a]
+        lead = np.zeros(len(b), np.int64)
+        lead[first_b] = 1
+        said[np.arange(len(b)) + (first_a + n_a)[group_b]] = self.b_said[lead, b]
+        starts = np.flatnonzero(new_unit)
+        sizes = [np.add.reduceat(x, starts).tolist() for x in (n_a, n_b, np.ones_like(n_a), n_a * n_b)]
+        upto, pairs = np.cumsum(sizes[3]).tolist(), pairs.tolist()
+        own = [tuple(pairs[i:j]) for i, j in zip([0, *upto], upto, strict=False)]
+        return list(zip("".join(said.tolist()).split("\n")[1:], *sizes, own, strict=True))
+
 
 class _Units:
-    """Aligned units: their sizes, groups as text, and pairs of ids with multiplicities; unit 0 is one without tokens."""
+    """Aligned units, those of the last blocks kept in two generations."""
 
     def __init__(self, aligner: Aligner):
-        self.aligner, self.width = aligner, aligner.b.vocab_size()
-        self.clear()
-
-    def clear(self) -> None:
-        self.at, self.said, self.sizes, self.pairs, self.times, self.chars = {}, [""], [(0, 0, 0, 0)], [()], [()], 0
-
-    def add(self, units: list[str]) -> None:
-        self.chars += sum(map(len, units))
-        for unit, found in zip(units, self.aligner.align(units), strict=True):
-            if found is None:
-                self.at[unit] = 0
-                continue
-            a, b, groups = found
-            said, pairs, i, j = [], Counter(), 0, 0
-            for n_a, n_b in groups:
-                own_a, own_b = a[i : i + n_a], b[j : j + n_b]
-                i, j = i + n_a, j + n_b
-                said.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                many_b = Counter(own_b).items() if n_b > 1 else ((own_b[0], 1),)
-                for x, times in Counter(own_a).items() if n_a > 1 else ((own_a[0], 1),):
-                    for y, also in many_b:
-                        pairs[x * self.width + y] += times * also
-            self.at[unit] = len(self.said)
-            self.said.append(";".join(said))
-            self.sizes.append((len(a), len(b), len(groups), sum(n * m for n, m in groups)))
-            self.pairs.append(tuple(pairs))
-            self.times.append(tuple(pairs.values()))
+        self.aligner, self.young, self.old = aligner, {}, {}
+
+    def found(self, wanted: list[str]) -> list[tuple | None]:
+        out = {u: self.young.get(u) or self.old.get(u) for u in wanted}
+        new = [u for u, r in out.items() if r is None]
+        out.update(zip(new, self.aligner.align(new), strict=True))
+        if len(self.young) > CACHE_UNITS:
+            self.young, self.old = {}, self.young
+        self.young.update((u, r) for u, r in out.items() if r is not None and len(u) <= CACHE_CHARS)
+        return list(out.values())
 
 
 def _runs(starts, lengths):
@@ -149,7 +159,7 @@ def aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str, block_units
         import numpy as np
 
         units = _Units(Aligner(byte_vocabulary, piece_model))
-        key, waiting, n_waiting = TaskContext.get().partitionId() << 33, [], 0
+        key, waiting, n_waiting = TaskContext.get().partitionId() << 26, [], 0
 
         def rows(size: int, **columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, t) for c, t in _FIELDS], names)
@@ -161,43 +171,36 @@ def aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str, block_units
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal key, waiting, n_waiting
-            own = [[""] if u is None else u for _, u in waiting]
-            wanted = {u for us in own for u in us}
-            new = list(wanted.difference(units.at))
-            if len(units.at) + len(new) > CACHE_UNITS or units.chars > CACHE_CHARS:
-                units.clear()
-                new = list(wanted)
-            for k in range(0, len(new), 10_000):
-                units.add(new[k : k + 10_000])
-            found = [list(map(units.at.__getitem__, us)) for us in own]
-            # A text that can't be given back as units: whole, in case changes cancel out.
-            for k, (_, us) in enumerate(waiting):
-                if us is None:
-                    found[k] = [0]
-                elif 0 in found[k]:
-                    text = " ".join(us)
-                    if text not in units.at:
-                        units.add([text])
-                    found[k] = [units.at[text]]
+            own = [us or [""] for _, us in waiting]
+            wanted = list({u for us in own for u in us})
+            records = units.found(wanted)
+            at = dict(zip(wanted, range(len(wanted)), strict=True))
+            found = [list(map(at.__getitem__, us)) for us in own]
+            wrong = {k for k, r in enumerate(records) if r is None}
+            records.append(("", 0, 0, 0, 0, ()))
+            if wrong:  # such a text is tried as a whole, in case changes cancel out
+                for k, (_, us) in enumerate(waiting):
+                    if us is None or not wrong.isdisjoint(found[k]):
+                        whole = units.aligner.align([" ".join(us)])[0] if us else None
+                        found[k] = [len(records) if whole else len(wanted)]
+                        records += [whole] if whole else []
+                records = [r or ("", 0, 0, 0, 0, ()) for r in records]
+            said, *sizes, pairs = zip(*records, strict=True)
             lengths = np.array([len(f) for f in found])
-            flat = np.concatenate([np.array(f, np.int64) for f in found])
+            flat = np.fromiter(chain.from_iterable(found), np.int64, lengths.sum())
             of = np.repeat(np.arange(len(found)), lengths)
-            used, flat = np.unique(flat, return_inverse=True)
-            sizes = np.array([units.sizes[u] for u in used], np.int64)[flat]
-            sums = np.add.reduceat(sizes, np.cumsum(lengths) - lengths)
-            sha = ["" if f == [0] else hashlib.sha256(";".join([units.said[u] for u in f]).encode()).hexdigest() for f in found]
+            sums = np.add.reduceat(np.array(sizes, np.int64).T[flat], np.cumsum(lengths) - lengths)
+            sha = [hashlib.sha256(";".join([said[u] for u in f]).encode()).hexdigest() if n else "" for f, n in zip(found, sums[:, 0], strict=True)]
             told = {c: pa.array(sums[:, k]) for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
             ids = pa.array([d for d, _ in waiting], pa.int64())
             yield rows(len(found), key=pa.array(key + np.arange(len(found))), doc_id=ids, groups_sha256=pa.array(sha, pa.string()), **told)
             # Documents and their distinct units, then the pairs of these.
-            both, times = np.unique(of * len(used) + flat, return_counts=True)
-            of, flat = both // len(used), both % len(used)
-            n_pairs = np.array([len(units.pairs[u]) for u in used], np.int64)
-            pairs = np.fromiter((p for u in used for p in units.pairs[u]), np.int64, n_pairs.sum())
-            many = np.fromiter((t for u in used for t in units.times[u]), np.int64, n_pairs.sum())
-            at = _runs((np.cumsum(n_pairs) - n_pairs)[flat], n_pairs[flat])
-            codes = pairs[at] * len(found) + np.repeat(of, n_pairs[flat])
-            many = many[at] * np.repeat(times, n_pairs[flat])
+            both, times = np.unique(of * len(records) + flat, return_counts=True)
+            of, flat = both // len(records), both % len(records)
+            n_pairs = np.array(sizes[3], np.int64)
+            codes = np.fromiter(chain.from_iterable(pairs), np.int64, n_pairs.sum())[_runs((np.cumsum(n_pairs) - n_pairs)[flat], n_pairs[flat])]
+            codes = codes * len(found) + np.repeat(of, n_pairs[flat])
+            many = np.repeat(times, n_pairs[flat])
             if len(codes):
                 order = np.argsort(codes)
                 codes = codes[order]
@@ -212,7 +215,7 @@ def aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str, block_units
                     lists = wide == is_wide
                     if lists.any():
                         here, ends = _runs(first[lists], n[lists]), np.cumsum(n[lists])
-                        a, b = np.divmod(code[first[lists]], units.width)
+                        a, b = np.divmod(code[first[lists]], units.aligner.width)
                         yield rows(
                             len(ends), key=pa.array(np.full(len(ends), key)), a=pa.array(a.astype(np.int32)), b=pa.array(b.astype(np.int32)), n=pa.array(n[lists].astype(np.int32)),
                             docs=binary(of[here].tobytes(), 2 * ends), times=binary(many[here].astype("<u4" if is_wide else "u1").tobytes(), (4 if is_wide else 1) * ends),
@@ -233,30 +236,28 @@ def aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str, block_units
 
 
 def contributions(lists: DataFrame) -> DataFrame:
-    """key, best, total: sums over the links of a document, of lists (key, docs, times, count, is_best); a document may come more
-    than once."""
+    """block, docs, best and total: of each block of documents the sums over links by document, from lists (key, docs, times, count,
+    is_best). A block comes as often as a task's GATHERED contributions are summed; docs are two-byte, sums eight-byte integers."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        keys, sums, gathered = [], [], 0
+        parts, gathered = [], 0
 
-        def summed() -> pa.RecordBatch | None:
-            nonlocal keys, sums, gathered
-            if not keys:
-                return None
-            key, both = np.concatenate(keys), np.concatenate(sums)
+        def summed() -> tuple:
+            key, best, total = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(key, kind="stable")
             key = key[order]
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            keys, sums = [key[starts]], [np.add.reduceat(both[order], starts)]
-            gathered = len(starts)
+            return key[starts], np.add.reduceat(best[order], starts), np.add.reduceat(total[order], starts)
 
-        def out() -> pa.RecordBatch:
-            nonlocal keys, sums, gathered
-            batch = pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(sums[0][:, 0]), pa.array(sums[0][:, 1])], ["key", "best", "total"])
-            keys, sums, gathered = [], [], 0
-            return batch
+        def packed() -> pa.RecordBatch:
+            key, best, total = summed()
+            block = key >> 16
+            cuts = np.append(np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))), len(key)).tolist()
+            each = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
+            columns = [pa.array(block[cuts[:-1]]), each((key & 0xFFFF).astype("<u2")), each(best.astype("<i8")), each(total.astype("<i8"))]
+            return pa.RecordBatch.from_arrays(columns, ["block", "docs", "best", "total"])
 
         for batch in batches:
             base, count, is_best = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "count", "is_best"))
@@ -269,18 +270,48 @@ def contributions(lists: DataFrame) -> DataFrame:
                 own = np.frombuffer(b"".join([docs[i] for i in at]), "<u2").astype(np.int64)
                 many = np.frombuffer(b"".join([times[i] for i in at]), "<u4" if is_wide else "u1").astype(np.int64)
                 n = np.array([len(docs[i]) // 2 for i in at])
-                keys.append(own + np.repeat(base[at], n))
-                sums.append(np.stack((many * np.repeat(is_best[at], n), many * np.repeat(count[at], n)), axis=1))
+                parts.append((np.repeat(base[at] << 16, n) + own, many * np.repeat(is_best[at], n), many * np.repeat(count[at], n)))
                 gathered += len(own)
             if gathered > GATHERED:
-                summed()
+                parts = [summed()]
+                gathered = len(parts[0][0])
                 if gathered > GATHERED // 2:
-                    yield out()
-        summed()
-        if keys:
+                    yield packed()
+                    parts, gathered = [], 0
+        if parts:
+            yield packed()
+
+    return lists.select("key", "docs", "times", "count", "is_best").mapInArrow(expand, "block bigint, docs binary, best binary, total binary")
+
+
+def summed_by_document(parts: DataFrame) -> DataFrame:
+    """key, n_best and count_sum of every document in parts (of contributions()). A block's rows come one after another, and its sums are held alone."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        now, sums = None, np.zeros((3, 1 << 16), np.int64)
+
+        def out() -> pa.RecordBatch:
+            at = np.flatnonzero(sums[0])
+            batch = pa.RecordBatch.from_arrays([pa.array(at + now), pa.array(sums[1, at]), pa.array(sums[2, at])], ["key", "n_best", "count_sum"])
+            sums[:, at] = 0
+            return batch
+
+        for batch in batches:
+            for block, docs, best, total in zip(*(batch[c].to_pylist() for c in ("block", "docs", "best", "total")), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield out()
+                    now = block
+                at = np.frombuffer(docs, "<u2")
+                sums[0, at] = 1
+                sums[1, at] += np.frombuffer(best, "<i8")
+                sums[2, at] += np.frombuffer(total, "<i8")
+        if now is not None:
             yield out()
 
-    return lists.select("key", "docs", "times", "count", "is_best").mapInArrow(expand, "key bigint, best bigint, total bigint")
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "key bigint, n_best bigint, count_sum bigint")
 
 
 def counted(postings: DataFrame, part_postings: int = PART_POSTINGS) -> DataFrame:
@@ -303,7 +334,7 @@ def align_tokens(docs: DataFrame, byte_vocabulary: str, piece_model: str, part_p
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row of docs (doc_id, text)."""
     rows = put(aligned(docs, byte_vocabulary, piece_model), "align")
     postings = rows.filter("a IS NOT NULL").select("key", "a", "b", "n", "docs", "times")
-    sums = contributions(counted(postings, part_postings)).groupBy("key").agg(F.sum("best").alias("n_best"), F.sum("total").alias("count_sum"))
+    sums = summed_by_document(contributions(counted(postings, part_postings)))
     none = F.lit(0).cast("bigint")
     told = rows.filter("a IS NULL").select("key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(sums, "key", "left")
     return told.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", none).alias("n_best"), F.coalesce("count_sum", none).alias("count_sum"), "groups_sha256")

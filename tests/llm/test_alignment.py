@@ -73,7 +73,7 @@ def test_small_blocks(spark, libraries):
     keys = [r.key for r in rows.filter("a IS NULL").collect()]
     assert len(set(keys)) == len(docs)
     lists = alignment.counted(rows.filter("a IS NOT NULL").select("key", "a", "b", "n", "docs", "times"), 2)
-    sums = {r.key: (r.best, r.total) for r in alignment.contributions(lists).groupBy("key").sum("best", "total").toDF("key", "best", "total").collect()}
+    sums = {r.key: (r.n_best, r.count_sum) for r in alignment.summed_by_document(alignment.contributions(lists)).collect()}
     got = sorted((r.doc_id, *sums.get(r.key, (0, 0))) for r in rows.filter("a IS NULL").collect())
     assert got == sorted((r[0], r[5], r[6]) for r in brute(libraries, docs))
 
@@ -85,5 +85,12 @@ def test_units_agree_with_whole_texts(libraries, text):
     found, want = aligner.align(aligner.split(text)), whole(libraries, text)
     if None not in found:
         assert want is not None
-        assert ([i for f in found for i in f[0]], [i for f in found for i in f[1]]) == want[:2]
-        assert [g for f in found for g in f[2]] == [(len(a), len(b)) for a, b in want[2]]
+        said = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in want[2])
+        assert ";".join(f[0] for f in found) == said
+        assert [sum(f[k] for f in found) for k in range(1, 5)] == [len(want[0]), len(want[1]), len(want[2]), sum(len(a) * len(b) for a, b in want[2])]
+        assert Counter(p for f in found for p in f[5]) == Counter(x * 32000 + y for a, b in want[2] for x in a for y in b)
+
+
+def test_units_encoded_together(libraries):
+    units = [u for t in TEXTS if t for u in libraries[2].split(t)] + ["▁", "x▁y", "a\n", "é", ""]
+    assert libraries[2].align(units) == [libraries[2].align([u])[0] for u in units]
