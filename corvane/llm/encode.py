@@ -36,9 +36,11 @@ class Encoder:
     """ids(texts) -> for each text the bytes of its ids as little-endian unsigned 32-bit integers.
 
     A null text counts as empty. (Ids are in the machine's order, little-endian wherever Spark runs here.) Strings of added tokens
-    in a text become their ids, as with the library's own settings."""
+    in a text become their ids, as with the library's own settings.
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    keep_old: a full cache is kept beside the one begun after it, and what is still used goes over."""
+
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, keep_old: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import json
 
@@ -47,7 +49,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_pieces, self.cache = cache_pieces, {}
+        self.cache_pieces, self.cache, self.keep_old, self.old = cache_pieces, {}, keep_old, {}
         self.lower = spec.get("normalizer") is not None
         plain, letter, number = _classes(self.lower)
         space = r"\t-\r "
@@ -70,8 +72,12 @@ class Encoder:
         new = {p for ps in pieces if ps is not None for p in ps if p not in cache}
         if new:
             if len(cache) + len(new) > self.cache_pieces:
+                self.old = cache if self.keep_old else {}
                 cache = self.cache = {}
                 new = {p for ps in pieces if ps is not None for p in ps}
+            if self.old:
+                cache.update((p, ids) for p in new if (ids := self.old.get(p)) is not None)
+                new.difference_update(cache)
             new = list(new)
             cache.update(zip(new, self._raw(new), strict=True))
         get = cache.__getitem__
@@ -88,11 +94,11 @@ class Encoder:
             yield from self._chunk(part)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES, keep_old: bool = False) -> Encoder:
     """The Python worker's own encoder, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path, cache_pieces)
-    return _encoders[path]
+    if (path, keep_old) not in _encoders:
+        _encoders[path, keep_old] = Encoder(path, cache_pieces, keep_old)
+    return _encoders[path, keep_old]

@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import table
 
-CACHE_PIECES = 500_000
+#: Distinct words of a generation that a Python worker keeps.
+CACHE_PIECES = 600_000
 CAPACITY = 1024
 STRIP_TOKENS = 1 << 19
 #: A sentence of more tokens may also be cut after each so many.
-GAP = 16
+GAP = 24
 SENTENCE_PENALTY, DEEP_PENALTY = 4, 8
 _SENTENCE_END = re.compile(r"""(?:[.!?…。！？]["'”’»)\]]*\s*|\n\s*)$""")
 
@@ -155,7 +156,7 @@ def pack_in_order(
 
         from corvane.llm.encode import encoder
 
-        own = encoder(vocabulary, CACHE_PIECES)
+        own = encoder(vocabulary, CACHE_PIECES, keep_old=True)
         ends_sentence = np.zeros(own.tokenizer.get_vocab_size(), bool)
         ends_sentence[sentence_ends(vocabulary)] = True
         number, strip, end = TaskContext.get().partitionId() << 32, _Strip(), end_id.to_bytes(4, "little")

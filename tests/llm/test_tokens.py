@@ -15,7 +15,7 @@ from corvane.llm.encode import Encoder
 from corvane.llm.wavelet import WaveletMatrix, build
 
 FILES = {n: public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
-ENCODERS = {n: Encoder(p, 500) for n, p in FILES.items()}
+ENCODERS = {n: Encoder(p, 500, keep_old=n == "byte_bpe_50k.json") for n, p in FILES.items()}
 PLAIN = {n: Tokenizer.from_file(p) for n, p in FILES.items()}
 ODD = [(3, "b c"), (None, "nul"), (1, None), (2, ""), (2, ""), (2**60 + 1, "It's  a\n\n test — “quoted” ½²³ naïve İstanbul 日本語 \x1c\x85"), (9, "word " * 9000), (4, "\t \n")]
 
