@@ -96,9 +96,10 @@ def hash_embed(text: Column, dim: int = 64) -> Column:
     """The offline embedder: counts of words by hash, of unit length."""
     from corvane.functions.text import words
 
+    if not 0 < dim <= 256:
+        raise ValueError("dim must be from 1 to 256")
     at = F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    start = F.array_repeat(F.lit(0.0), dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double")) if dim <= 256 else start
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
 

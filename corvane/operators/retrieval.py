@@ -61,7 +61,11 @@ def bm25(queries: DataFrame, docs: DataFrame, qkey: str, key: str, k: int = 15)
     terms = F.broadcast(terms) if _stated(terms) else terms
     posted = tokens.select(key, size.alias("dl"), F.explode("_w").alias("term")).join(terms, "term", "left_semi").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
     idf = _idf(tokens.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats).join(terms, "term", "left_semi")
-    hits = posted.join(idf, "term").join(wanted, "term")
+    return rank_bm25(posted.join(idf, "term").join(wanted, "term"), queries, docs.select(key), qkey, key, k)
+
+
+def rank_bm25(hits: DataFrame, queries: DataFrame, docs: DataFrame, qkey: str, key: str, k: int) -> DataFrame:
+    """bm25() from hits (qkey, key, tf, dl, times, idf, n, avgdl), a row for each term of a query in a document; docs are all keys."""
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(qkey, key, "n").agg(F.sum(part).alias("raw")).persist(StorageLevel.MEMORY_AND_DISK)  # read for spreads, pads and the best; spills, and is made anew if lost
     spread = scored.groupBy(qkey, "n").agg(F.min("raw").alias("low"), F.max("raw").alias("high"), F.count(F.lit(1)).alias("matched"))
@@ -71,7 +75,7 @@ def bm25(queries: DataFrame, docs: DataFrame, qkey: str, key: str, k: int = 15)
     short = queries.select(qkey).join(told, qkey, "left").filter(F.coalesce("positive", F.lit(0)) < k).select(qkey, F.coalesce("matched", F.lit(0)).alias("matched"))
     most, rows = short.agg(F.max("matched")).first()[0], scored.select(qkey, key, "raw")
     if most is not None:  # among k + most documents k aren't matched
-        least = docs.select(key).orderBy(key).limit(k + most)
+        least = docs.orderBy(key).limit(k + most)
         rows = rows.unionByName(short.select(qkey).crossJoin(least).join(scored.select(qkey, key), [qkey, key], "left_anti").withColumn("raw", F.lit(0.0)))
     best = top_k(rows, [qkey], [F.desc(F.round("raw", 9)), F.asc(key)], k)
     norm = best.join(spread.select(qkey, "low", "high"), qkey, "left")
@@ -191,4 +195,5 @@ def parse_ranking(answer: Column, n: Column) -> Column:
     """Order of n candidates from a free-text answer: its valid, distinct numbers (from 1), then the others in order."""
     told = F.transform(F.regexp_extract_all(answer, F.lit(r"(\d{1,9})"), F.lit(1)), lambda x: x.cast("int"))
     valid = F.array_distinct(F.filter(told, lambda x: (x >= 1) & (x <= n)))
-    return F.array_union(valid, F.sequence(F.lit(1), n))
+    every = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.array_union(valid, every)

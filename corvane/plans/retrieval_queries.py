@@ -9,8 +9,10 @@ from corvane.functions.text import route_weights
 from corvane.functions.text import entities
 from corvane.operators import graph as G
 from corvane.operators import retrieval as R
+from corvane.operators import text_index as T
+from corvane.operators import vector_index as V
 from corvane.plans.text_queries import DICTIONARY
-from corvane.session import load
+from corvane.session import index_root, load
 
 CHUNK = 600
 
@@ -25,26 +27,44 @@ def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _r(R.term_stats(posted, R.corpus_stats(docs)).select("term", "df", "idf"), "idf")
 
 
+def bm25_stats_by_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    """All terms' statistics, summed by the first two digits of a term's md5."""
+    docs = load(spark, sf, "documents")
+    terms = R.term_stats(R.postings(docs, "doc_id"), R.corpus_stats(docs)).withColumn("bucket", F.substring(F.md5(F.col("term").cast("binary")), 1, 2))
+    sums = terms.groupBy("bucket").agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("df"), F.sum("idf").alias("idf"))
+    return sums.withColumn("idf", F.round("idf", 4))
+
+
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(R.bm25(load(spark, sf, "benchmark"), load(spark, sf, "documents"), "item_id", "doc_id"), "score")
+    return _r(_bm25(spark, sf), "score")
 
 
-def _label_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """One query vector for each label: its vector with the least id."""
-    e = load(spark, sf, "embeddings")
-    return e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+def _bm25(spark: SparkSession, sf: str, k: int = 15) -> DataFrame:
+    """Each benchmark text's documents, from the stored index of documents, which the first query over a table builds. These texts
+    share words with nearly all documents, so that no block can be skipped."""
+    docs = load(spark, sf, "documents")
+    root, there = index_root(docs, "bm25")
+    if not there:
+        T.add(docs, root, "doc_id")
+    return T.search(load(spark, sf, "benchmark"), root, "item_id", "doc_id", k, skip=False)
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Query vectors: every row whose id is divisible by 50."""
+    return load(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", "embedding")
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(R.dense(_label_queries(spark, sf), load(spark, sf, "embeddings"), "label", "vec_id"), "score")
+    return _r(R.dense(_asked(spark, sf), load(spark, sf, "embeddings"), "q", "vec_id"), "score")
 
 
 def vector_topk_ivf(spark: SparkSession, sf: str) -> DataFrame:
-    """The labels' query vectors are the centroids too."""
-    e, q = load(spark, sf, "embeddings"), _label_queries(spark, sf)
-    centroids = q.select(F.col("label").alias("ivf_list"), F.col("embedding").alias("centroid"))
-    listed = R.assign_lists(e.select("vec_id", "embedding"), centroids, "vec_id")
-    return _r(R.dense_ivf(q, listed, centroids, "label", "vec_id", 15, 4), "score")
+    """The same queries over the stored index by lists."""
+    e = load(spark, sf, "embeddings")
+    root, there = index_root(e, "vectors")
+    if not there:
+        V.create(e.select("vec_id", "embedding"), root, "vec_id")
+    return _r(V.search(_asked(spark, sf), root, "q", "vec_id"), "score")
 
 
 def _paths(spark: SparkSession, sf: str, bm25: int = 15, vector: int = 10, graph: int = 15) -> DataFrame:
@@ -55,7 +75,7 @@ def _paths(spark: SparkSession, sf: str, bm25: int = 15, vector: int = 10, graph
     relation = F.element_at(F.array(*[F.lit(x) for x in ("forbidden", "rehab", "caution", "other")]), (F.col("doc_id") % 4 + 1).cast("int"))
     edges = docs.select(F.col("doc_id").alias("edge_id"), F.col("source").alias("src"), F.lit("HAS").alias("rel_type"), relation.alias("relation"))
     found = [
-        ("bm25", R.bm25(items, docs, "item_id", "doc_id", bm25)), ("vector", R.dense(asked, e, "item_id", "vec_id", vector).withColumnRenamed("vec_id", "doc_id")),
+        ("bm25", _bm25(spark, sf, bm25)), ("vector", R.dense(asked, e, "item_id", "vec_id", vector).withColumnRenamed("vec_id", "doc_id")),
         ("graph", G.one_hop(seeds, edges, "item_id", graph).withColumnRenamed("edge_id", "doc_id")),
     ]
     a, b, c = (hits.select("item_id", "doc_id", F.lit(path).alias("path"), F.col("score").cast("double").alias("score")) for path, hits in found)
@@ -86,14 +106,14 @@ def retrieve_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def entity_boost(spark: SparkSession, sf: str) -> DataFrame:
     """Hits of labelled queries; the language and source stand for labels."""
-    hits = R.bm25(load(spark, sf, "benchmark"), load(spark, sf, "documents"), "item_id", "doc_id").join(load(spark, sf, "documents"), "doc_id")
+    hits = _bm25(spark, sf).join(load(spark, sf, "documents"), "doc_id")
     hits = hits.withColumns({"ql": F.when(F.col("item_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("en"), F.concat(F.lit("src"), F.col("item_id") % 20))), "dl": F.array("lang", "source")})
     return _r(R.entity_boost(hits, "ql", "dl").select("item_id", "doc_id", "score"), "score")
 
 
 def semantic_dedup(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "embeddings")
-    hits = R.dense(_label_queries(spark, sf), e, "label", "vec_id").select(F.col("label").alias("q"), "vec_id", "rank").join(e.select("vec_id", "embedding"), "vec_id")
+    hits = R.dense(_asked(spark, sf), e, "q", "vec_id").select("q", "vec_id", "rank").join(e.select("vec_id", "embedding"), "vec_id")
     return R.semantic_dedup(hits, "q", "vec_id", limit=0.35)
 
 
@@ -118,7 +138,7 @@ def parent_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    hits = R.bm25(load(spark, sf, "benchmark"), load(spark, sf, "documents"), "item_id", "doc_id", 8).join(load(spark, sf, "documents"), "doc_id")
+    hits = _bm25(spark, sf, 8).join(load(spark, sf, "documents"), "doc_id")
     return R.assemble_context(hits, "item_id", F.col("source") == "src0")
 
 
@@ -175,7 +195,7 @@ def alias_subgraph(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_stats, bm25_topk, vector_topk, vector_topk_ivf, rrf_fusion, weighted_fusion, retrieve_topk, entity_boost, semantic_dedup, listwise_parse, parent_expand, context_assembly,
+        bm25_stats, bm25_stats_by_bucket, bm25_topk, vector_topk, vector_topk_ivf, rrf_fusion, weighted_fusion, retrieve_topk, entity_boost, semantic_dedup, listwise_parse, parent_expand, context_assembly,
         graph_merge_nodes, graph_one_hop, graph_multi_hop, graph_conflicts, contra_theta_join, alias_subgraph,
     )
 }
@@ -194,7 +214,7 @@ _BM25 = rf"""{_TERMS},
     nm AS (SELECT item_id, doc_id, raw, (raw - min(raw) OVER w) / CASE WHEN max(raw) OVER w <> min(raw) OVER w THEN max(raw) OVER w - min(raw) OVER w ELSE 1 END AS score,
                   row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 9) DESC, doc_id) AS rank FROM al WINDOW w AS (PARTITION BY item_id)),
     hits AS (SELECT item_id, doc_id, score, rank FROM nm WHERE rank <= {{k}})"""
-_LQ = "lq AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label)"
+_LQ = "lq AS (SELECT vec_id AS id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)"
 _COS = "list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v)) + 1e-9)"
 _PATHS = f"""
     lv AS (SELECT item_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
@@ -220,14 +240,10 @@ def _weights_sql() -> str:
 
 ORACLE = {
     "bm25_stats": f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM ts",
+    "bm25_stats_by_bucket": f"WITH {_TERMS} SELECT substr(md5(term), 1, 2) AS bucket, count(*) AS terms, sum(df)::BIGINT AS df, round(sum(idf), 4) AS idf FROM ts GROUP BY bucket",
     "bm25_topk": f"WITH {_BM25.replace("{k}", "15")} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM hits",
-    "vector_topk": f"""WITH {_LQ}, s AS (SELECT lq.label, vec_id, {_COS} AS score FROM lq, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
-        r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT label, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 15""",
-    "vector_topk_ivf": f"""WITH {_LQ}, d AS (SELECT label, vec_id, q, v, list_dot_product(v, q) AS s FROM lq, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
-        l AS (SELECT vec_id, label AS ivf FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, label) = 1),
-        p AS (SELECT a.label, b.label AS ivf FROM lq a, lq b QUALIFY row_number() OVER (PARTITION BY a.label ORDER BY round(list_dot_product(a.q, b.q), 9) DESC, b.label) <= 4),
-        s AS (SELECT d.label, d.vec_id, {_COS} AS score FROM d JOIN l USING (vec_id) JOIN p ON p.label = d.label AND p.ivf = l.ivf),
-        r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT label, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 15""",
+    "vector_topk": f"""WITH {_LQ}, s AS (SELECT id, vec_id, {_COS} AS score FROM lq, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT id AS q, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 15""",
     "rrf_fusion": f"""WITH {_BM25.replace("{k}", "15")}, {_PATHS.replace("{v}", "10")}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id, path ORDER BY round(score, 9) DESC, doc_id) AS r FROM paths),
         f AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + r)) AS score FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f)
         SELECT item_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 5""",

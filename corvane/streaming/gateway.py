@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from corvane.session import shared_folder
+
 #: Requests a window, its seconds, the cooldown's; near-duplicates' history and similarity.
 LIMIT, WINDOW_S, COOLDOWN_S = 10, 60.0, 30.0
 HISTORY, SIMILAR = 5, 0.85
@@ -26,7 +28,7 @@ def limit_step(stamps: list[float], blocked: float, now: float, limit: int = LIM
 
 
 def rate_limit(requests: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """requests (key, ts, tie) with allowed, replayed in order. Rows stream through sorted partitions; the state of one key is ten stamps."""
+    """requests (key, ts, tie) with allowed, replayed in order; rows without key or ts are left out. Rows stream through sorted partitions; the state of one key is ten stamps."""
     types = dict(requests.dtypes)
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,7 +42,7 @@ def rate_limit(requests: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
                 out.append(ok)
             yield batch[[key, tie]].assign(allowed=out)
 
-    rows = requests.select(key, tie, F.col(ts).cast("timestamp").cast("double").alias("_s"))
+    rows = requests.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, tie, F.col(ts).cast("timestamp").cast("double").alias("_s"))
     return rows.repartition(key).sortWithinPartitions(key, "_s", tie).mapInPandas(replay, f"{key} {types[key]}, {tie} {types[tie]}, allowed boolean")
 
 
@@ -59,7 +61,7 @@ def rate_limit_stream(requests: DataFrame, key: str, ts: str, tie: str) -> DataF
         state.update((stamps, blocked))
         yield pd.DataFrame({key: name[0], tie: rows[tie].to_numpy(), "allowed": out})
 
-    rows = requests.select(key, tie, F.col(ts).cast("timestamp").cast("double").alias("_s"))
+    rows = requests.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, tie, F.col(ts).cast("timestamp").cast("double").alias("_s"))
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {types[key]}, {tie} {types[tie]}, allowed boolean", "stamps array<double>, blocked double", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -76,7 +78,7 @@ def noise_step(history: list[str], text: str, history_size: int = HISTORY, simil
 
 
 def near_duplicates(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """turns (key, order, text) with duplicate, each against the last accepted ones of its key."""
+    """turns (key, order, text) with duplicate, each against the last accepted ones of its key; rows without one are left out."""
     types = dict(turns.dtypes)
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +92,7 @@ def near_duplicates(turns: DataFrame, key: str, order: str, text: str) -> DataFr
                 out.append(repeated)
             yield batch[[key, order]].assign(duplicate=out)
 
-    return turns.select(key, order, text).repartition(key).sortWithinPartitions(key, order).mapInPandas(replay, f"{key} {types[key]}, {order} {types[order]}, duplicate boolean")
+    return turns.filter(F.col(key).isNotNull()).select(key, order, text).repartition(key).sortWithinPartitions(key, order).mapInPandas(replay, f"{key} {types[key]}, {order} {types[order]}, duplicate boolean")
 
 
 def cost_windows(usage: DataFrame, key: str, ts: str, prompt: str, completion: str, total: str, soft: float, hard: float, seconds: int = 86_400) -> DataFrame:
@@ -131,13 +133,12 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late
 def run_once(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a streaming frame over what is there now and returns its rows as a written table in the shared folder."""
     spark = frame.sparkSession
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="corvane-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root}/corvane/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/corvane/{name}-{uuid.uuid4().hex}"
+    for folder in (path, f"{path}-state"):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     query = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).format("parquet").start(path)
     query.awaitTermination()
     return spark.read.schema(frame.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Keyed state machines: one step function replays a batch in order or runs as a stateful stream, with the same results.
 
-A step takes (state, row) and returns (outputs, state). States are small and JSON, rows are tuples of the named columns."""
+A step takes (state, row) and returns (outputs, state). States are small and JSON, rows are tuples of the named columns, in which a
+null is None and a number keeps its digits whatever else the batch holds. Rows without a key are left out."""
 
 from __future__ import annotations
 
@@ -28,6 +29,19 @@ def _schema(rows: DataFrame, keep: list[str], outputs: str) -> str:
     return ", ".join([*(f"`{c}` {types[c]}" for c in keep), outputs])
 
 
+def _told(rows: DataFrame, key: str, keep: list[str], inputs: list[str]) -> DataFrame:
+    """The columns of rows that a step needs. Inputs of whole numbers travel as text beside themselves, as pandas makes floats of them where one is null."""
+    whole = [c for c in inputs if dict(rows.dtypes)[c] in ("bigint", "int", "smallint", "tinyint")]
+    return rows.filter(F.col(key).isNotNull()).select(*keep, *[F.col(c).cast("string").alias(f"_whole_{c}") for c in whole], *[F.col(c).alias(f"_input_{c}") for c in inputs if c not in whole])
+
+
+def _inputs(batch: pd.DataFrame, c: str) -> list:
+    """An input's values as the step gets them."""
+    if (name := f"_whole_{c}") in batch.columns:
+        return [None if pd.isna(v) else int(v) for v in batch[name]]
+    return [None if pd.api.types.is_scalar(v) and pd.isna(v) else v for v in batch[f"_input_{c}"]]
+
+
 def replay(rows: DataFrame, key: str, order: list[str], inputs: list[str], step: Step, outputs: str) -> DataFrame:
     """key, order and the step's outputs for each row, each key's rows in order. A key streams through one sorted partition: only its state is held."""
     names = [o.split()[0] for o in outputs.split(",")]
@@ -37,15 +51,14 @@ def replay(rows: DataFrame, key: str, order: list[str], inputs: list[str], step:
         now, state, first = None, None, True
         for batch in batches:
             told = []
-            for k, *row in zip(batch[key], *(batch[c] for c in inputs), strict=True):
+            for k, *row in zip(batch[key], *(_inputs(batch, c) for c in inputs), strict=True):
                 if first or k != now:
                     now, state, first = k, None, False
                 out, state = step(state, tuple(row))
                 told.append(out)
-            yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(told, columns=names)], axis=1)
+            yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(told, columns=names, dtype=object)], axis=1)
 
-    used = list(dict.fromkeys([*keep, *inputs]))
-    return rows.filter(F.col(key).isNotNull()).select(*used).repartition(key).sortWithinPartitions(*keep).mapInPandas(run, _schema(rows, keep, outputs))
+    return _told(rows, key, keep, inputs).repartition(key).sortWithinPartitions(*keep).mapInPandas(run, _schema(rows, keep, outputs))
 
 
 def stream(rows: DataFrame, key: str, order: list[str], inputs: list[str], step: Step, outputs: str) -> DataFrame:
@@ -57,18 +70,19 @@ def stream(rows: DataFrame, key: str, order: list[str], inputs: list[str], step:
         state = json.loads(held.get[0]) if held.exists else None
         part = pd.concat(list(batches)).sort_values(order).reset_index(drop=True)
         told = []
-        for row in zip(*(part[c] for c in inputs), strict=True):
+        for row in zip(*(_inputs(part, c) for c in inputs), strict=True):
             out, state = step(state, tuple(row))
             told.append(out)
         held.update((json.dumps(state),))
-        yield pd.concat([part[keep], pd.DataFrame(told, columns=names)], axis=1)
+        yield pd.concat([part[keep], pd.DataFrame(told, columns=names, dtype=object)], axis=1)
 
-    used = list(dict.fromkeys([*keep, *inputs]))
-    return rows.filter(F.col(key).isNotNull()).select(*used).groupBy(key).applyInPandasWithState(run, _schema(rows, keep, outputs), "state string", "append", GroupStateTimeout.NoTimeout)
+    return _told(rows, key, keep, inputs).groupBy(key).applyInPandasWithState(run, _schema(rows, keep, outputs), "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def window_step(state: list | None, row: tuple, seconds: int = WINDOW_S) -> tuple[tuple, list]:
-    """row: (micros,). The window's start: the first use, and again the first use after it has run out."""
+    """row: (micros,). The window's start: the first use, and again the first use after it has run out; no start, and no use, without a time."""
+    if row[0] is None:
+        return (None,), state
     at = int(row[0])
     start = at if state is None or at - state[0] >= seconds * 1_000_000 else state[0]
     return (start,), [start]
@@ -101,7 +115,7 @@ def breaker_step(state: list | None, row: tuple, failures: int = FAILURES, secon
 
 def noise_by_tag(state: dict | None, row: tuple) -> tuple[tuple, dict]:
     """row: (tag, text). Near-duplicates among the last accepted texts of the same tag."""
-    held, tag = dict(state or {}), str(row[0])
+    held, tag = dict(state or {}), "" if row[0] is None else f"={row[0]}"  # a null tag is one of its own
     repeated, kept = noise_step(held.get(tag, []), row[1] or "")
     held[tag] = kept
     return (repeated,), held

@@ -10,6 +10,7 @@ from corvane.operators import builders as B
 from corvane.operators import retrieval as R
 from corvane.plans import decision_queries as Q
 from corvane.sources import sinks
+from corvane.streaming import gateway as K_gateway
 from corvane.streaming import keyed as K
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +113,20 @@ def test_bm25_pads_with_the_least_ids(spark):
     for r in R.bm25(queries, docs, "item_id", "doc_id", 3).orderBy("item_id", "rank").collect():
         got.setdefault(r.item_id, []).append(r.doc_id)
     assert got == {1: [4, 1, 2], 2: [1, 2, 3], 3: [1, 2, 3]}
+
+
+def test_null_keys_and_inputs_in_replays(spark):
+    rows = spark.createDataFrame([("k", n, v) for n, v in enumerate([None, 5, None, 2**60 + 1, 5, 2**60 + 1])] + [(None, 9, 5)], "key string, n int, v bigint")
+    out = K.replay(rows, "key", ["n"], ["v"], K.cache_step, "hit boolean, size int, gone int").orderBy("n").collect()
+    assert [r.hit for r in out] == [False, False, True, False, True, True] and out[-1]["size"] == 3
+    windows = K.replay(rows, "key", ["n"], ["v"], K.window_step, "start bigint").orderBy("n").collect()
+    assert [r.start for r in windows][:3] == [None, 5, None] and windows[3].start == 2**60 + 1
+    assert [K.noise_by_tag(None, row)[1] for row in ((None, "ab"), ("None", "ab"))] == [{"": ["ab"]}, {"=None": ["ab"]}]
+    calls = spark.createDataFrame([(k, datetime(2024, 1, 1, 0, 0, n), n) for k in (1, None) for n in range(12)], "k bigint, t timestamp, id int")
+    limited = K_gateway.rate_limit(calls, "k", "t", "id").collect()
+    assert len(limited) == 12 and sum(r.allowed for r in limited) == 10
+
+
+def test_ranking_of_no_candidates(spark):
+    rows = spark.createDataFrame([("3, 1", 0), ("3, 1", 3), (None, 2)], "a string, n int")
+    assert [r[0] for r in rows.select(R.parse_ranking(F.col("a"), F.col("n"))).collect()][:2] == [[], [3, 1, 2]]
