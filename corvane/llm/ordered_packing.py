@@ -30,12 +30,11 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import table
 
-#: Distinct words of a generation that a Python worker keeps.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
 CAPACITY = 1024
 STRIP_TOKENS = 1 << 19
 #: A sentence of more tokens may also be cut after each so many.
-GAP = 24
+GAP = 16
 SENTENCE_PENALTY, DEEP_PENALTY = 4, 8
 _SENTENCE_END = re.compile(r"""(?:[.!?…。！？]["'”’»)\]]*\s*|\n\s*)$""")
 
@@ -156,7 +155,7 @@ def pack_in_order(
 
         from corvane.llm.encode import encoder
 
-        own = encoder(vocabulary, CACHE_PIECES, keep_old=True)
+        own = encoder(vocabulary, CACHE_PIECES)
         ends_sentence = np.zeros(own.tokenizer.get_vocab_size(), bool)
         ends_sentence[sentence_ends(vocabulary)] = True
         number, strip, end = TaskContext.get().partitionId() << 32, _Strip(), end_id.to_bytes(4, "little")
