@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.sources import keyed_table
+
 #: Scores of relation labels.
 LABEL_SCORES = {"forbidden": 1.0, "rehab": 0.9, "caution": 0.7}
 OTHER_SCORE, FORBIDDEN_BOOST = 0.5, 1.5
@@ -22,6 +24,16 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["src", "dst", "rel_type", "relation", "description"])
 
 
+def store_nodes(writes: DataFrame, root: str) -> list[int]:
+    """Merges writes (name, type, seq) into the stored nodes: the last write of a name holds, whichever load brought it. The buckets that were rewritten."""
+    return keyed_table.upsert(writes, f"{root}/nodes", ["name"], "seq")
+
+
+def store_edges(writes: DataFrame, root: str) -> list[int]:
+    """Merges writes (src, dst, rel_type, seq and properties) into the stored edges: one of a kind between two nodes, with the last write's properties."""
+    return keyed_table.upsert(writes, f"{root}/edges", ["src", "dst", "rel_type"], "seq")
+
+
 def label_score(label: Column, scores: Mapping[str, float] = LABEL_SCORES) -> Column:
     out = F.lit(OTHER_SCORE)
     for name, score in scores.items():

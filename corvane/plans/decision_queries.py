@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql.window import Window
 from corvane.functions import decide as D
 from corvane.functions.text import entities, tier
 from corvane.operators import builders as B
+from corvane.operators import graph as G
 from corvane.plans.text_queries import DICTIONARY, FORBIDDEN, PLAN_WORDS, _entity_sql
-from corvane.session import load
-from corvane.sources import sinks
+from corvane.session import load, shared_folder
+from corvane.sources import keyed_table, sinks
 from corvane.streaming import gateway as W
 from corvane.streaming import keyed as K
 
@@ -148,11 +150,23 @@ def snapshot_in_force(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.read_snapshot(spark, root, nations.schema)
 
 
+def graph_store_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' orders as edges to priorities, in two loads of which the second brings the first one's rows again: the last order's status and date hold."""
+    root = f"{shared_folder(spark)}/corvane/graph-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    day = F.to_date("o_orderdate").cast("string")
+    edges = load(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.col("o_orderpriority").alias("dst"), F.lit("PLACED").alias("rel_type"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("relation"), day.alias("description"))
+    G.store_edges(edges.filter("relation = 'F'"), root)
+    G.store_edges(edges, root)
+    return keyed_table.read(spark, f"{root}/edges", edges.schema)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         question_rules, refusal_text, answer_cache_key, retry_backoff, request_check, graph_build, forbidden_lookup, action_check, action_reason, answer_citations, answer_cache_fifo, breaker_replay, cost_windows_reset,
-        near_duplicates_by_tag, stream_near_duplicates, snapshot_in_force,
+        near_duplicates_by_tag, stream_near_duplicates, snapshot_in_force, graph_store_merge,
     )
 }
 
@@ -197,5 +211,7 @@ ORACLE = {
           UNION ALL SELECT w.user_id, min(e.t) FROM w JOIN e ON e.user_id = w.user_id AND e.t >= w.start + 86400000000 GROUP BY w.user_id),
         s AS (SELECT e.user_id, e.t, max(w.start) AS start FROM e JOIN w ON w.user_id = e.user_id AND w.start <= e.t GROUP BY e.user_id, e.t)
         SELECT e.user_id, s.start, count(*) AS requests FROM e JOIN s ON s.user_id = e.user_id AND s.t = e.t GROUP BY ALL""",
+    "graph_store_merge": """SELECT 'c' || o_custkey AS src, o_orderpriority AS dst, 'PLACED' AS rel_type, max(o_orderkey) AS seq, arg_max(o_orderstatus, o_orderkey) AS relation, arg_max(o_orderdate::DATE::VARCHAR, o_orderkey) AS description
+        FROM orders GROUP BY ALL""",
     "snapshot_in_force": "SELECT n_nationkey, n_regionkey FROM nation",
 }
