@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.session import shared_folder
+
+#: Distinct values that are sorted as one slice, and parts of a larger one.
+WITHIN, PARTS = 1_000_000, 32
+
 
 def hit_metrics(ranked: DataFrame, qkey: str, hit: Column, by: str | None = None) -> DataFrame:
     """n, Hit@1/3/5 and MRR over queries; ranked has a row for each query and rank, queries without hits count as misses.
@@ -18,11 +25,43 @@ def hit_metrics(ranked: DataFrame, qkey: str, hit: Column, by: str | None = None
     return first.rollup(by).agg(*told) if by else first.agg(*told)
 
 
-def percentiles(rows: DataFrame, by: str, value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Mean and nearest-rank percentiles, at index min(n - 1, floor(n * p)) of the ascending values."""
-    ranked = rows.select(by, value, F.row_number().over(Window.partitionBy(by).orderBy(value)).alias("_k"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("_n"))
-    at = lambda p: F.max(F.when(F.col("_k") == F.least("_n", F.floor(F.col("_n") * F.lit(p)) + 1), F.col(value))).alias(f"p{round(p * 100)}")
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), *[at(p) for p in points])
+def percentiles(rows: DataFrame, by: str, value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99), within: int = WITHIN) -> DataFrame:
+    """n, mean and nearest-rank percentiles of each group, at index min(n - 1, floor(n * p)) of the ascending values; rows with a null value are left out.
+
+    Exact at any size by distributed selection: equal values are counted as one, and as long as a wanted rank lies among more than `within` distinct
+    values, cuts at their approximate quantiles part them, a cut's own value being a part by itself, the parts are counted, and the one that holds the
+    rank goes on. Only what is within the bound is sorted."""
+    spark, root = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/corvane/percentiles-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+    def written(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{root}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{root}/{name}")
+
+    told = rows.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("_g"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    values = written(told, "values")
+    groups = values.groupBy(F.col("_g").alias("_by")).agg(F.sum("_c").alias("n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_d"))
+    ranks = F.array(*[F.struct(F.lit(k).alias("_p"), F.least("n", F.floor(F.col("n") * F.lit(p)) + 1).alias("_rank")) for k, p in enumerate(points)])
+    slices = written(groups.select("_by", "n", "mean", "_low", "_high", "_d", F.inline(ranks)), "slices-0")
+    names, turn = slices.columns, 0
+    same = F.col("_by").eqNullSafe(F.col("_g")) & F.col("_v").between(F.col("_low"), F.col("_high"))
+    while (slices.agg(F.max("_d")).first()[0] or 0) > within:
+        turn += 1
+        wide = slices.filter(F.col("_d") > within)
+        cuts = wide.join(values, same).groupBy("_by", "_p").agg(F.array_distinct(F.percentile_approx("_v", [k / PARTS for k in range(1, PARTS)], 1000)).alias("_cuts"))
+        cuts = cuts.select(F.col("_by").alias("_b"), F.col("_p").alias("_q"), "_cuts")
+        part = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) * 2 + F.array_contains("_cuts", F.col("_v")).cast("int")
+        parted = wide.join(cuts, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_p") == F.col("_q"))).join(values, same).groupBy("_by", "n", "mean", "_p", "_rank", part.alias("_part"))
+        counted = parted.agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_d"), F.sum("_c").alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy("_by", "_p").orderBy("_part"))  # twice PARTS rows at most
+        held = counted.withColumn("_u", upto).filter((F.col("_rank") <= F.col("_u")) & (F.col("_rank") > F.col("_u") - F.col("_c")))
+        held = held.withColumn("_rank", F.col("_rank") - F.col("_u") + F.col("_c")).select(names)
+        slices = written(slices.filter(F.col("_d") <= within).unionByName(held), f"slices-{turn}")
+    upto = F.sum("_c").over(Window.partitionBy("_by", "_p").orderBy("_v"))  # no more than `within` rows
+    best = slices.join(values, same).withColumn("_u", upto).filter((F.col("_rank") <= F.col("_u")) & (F.col("_rank") > F.col("_u") - F.col("_c")))
+    at = [F.max(F.when(F.col("_p") == k, F.col("_v"))).alias(f"p{round(p * 100)}") for k, p in enumerate(points)]
+    return best.groupBy(F.col("_by").alias(by)).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), *at)
 
 
 def confusion(rows: DataFrame, predicted: str, expected: str, values: list) -> DataFrame:

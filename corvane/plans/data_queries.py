@@ -13,6 +13,7 @@ from corvane.operators import retrieval as R
 from corvane.sources.readers import html_text
 from corvane.session import load
 from corvane.streaming import gateway as W
+from corvane.streaming import timers as T
 
 
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,11 +154,28 @@ def stream_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return W.run_once(W.rate_limit_stream(events, "user_id", "t", "event_id"), "stream-limit")
 
 
+def stream_state_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """When each user's state ends, two hours after the last event, by a stream with timers whose watermark is ten minutes late."""
+    path = f"{sf}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    out = W.run_once(T.limits_stream(events, "user_id", "ts", "event_id", limit=1 << 30, window=7200.0), "stream-sweep", conf=T.CONF)
+    return out.filter("swept_ms IS NOT NULL").select("user_id", "swept_ms")
+
+
+def stream_closed_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's sessions by a stream: those that the watermark, ten minutes after which an event is too late, has closed."""
+    path = f"{sf}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]").select("user_id", "ts")
+    out = W.run_once(W.sessions(events, "user_id", "ts", "2 hours", "10 minutes"), "stream-sessions")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chunk_documents, manifest_diff, embed_cache_miss, html_to_units, table_merge, rate_limit_replay, rate_window, near_duplicate_replay, cost_ledger_windows, session_lru, recent_buffer,
         history_trim, history_tokens, usage_by_request, latency_percentiles, eval_hit_mrr, eval_by_type, classifier_confusion, feedback_distinct, judge_scores, stream_sessions, stream_dedup, stream_rate_limit,
+        stream_state_sweep, stream_closed_sessions,
     )
 }
 
@@ -198,5 +216,10 @@ ORACLE = {
     "judge_scores": "WITH c AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE CAST(c_custkey % 5 AS INT) END AS score FROM customer) SELECT score, count(*) AS n FROM c GROUP BY score",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 7200000000 THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM i GROUP BY user_id, k""",
+    "stream_closed_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 7200000000 THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT user_id, min(ts) AS start, count(*) AS n FROM i GROUP BY user_id, k HAVING max(epoch_us(ts)) + 7200000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 600000000""",
+    "stream_state_sweep": """WITH e AS (SELECT user_id, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM events), m AS (SELECT max(t) // 1000 - 600000 AS mark FROM e)
+        SELECT user_id, (t + 7200000000 + 999) // 1000 AS swept_ms FROM e, m WHERE next > (t + 7200000000 + 999) // 1000 * 1000 OR (next IS NULL AND (t + 7200000000 + 999) // 1000 <= mark)""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
 }

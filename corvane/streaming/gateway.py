@@ -130,8 +130,8 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late
     return out.select(key, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "n")
 
 
-def run_once(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a streaming frame over what is there now and returns its rows as a written table in the shared folder."""
+def run_once(frame: DataFrame, name: str, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
+    """Runs a streaming frame over what is there now and returns its rows as a written table in the shared folder. conf holds for this query alone."""
     spark = frame.sparkSession
     import uuid
 
@@ -139,6 +139,13 @@ def run_once(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
     for folder in (path, f"{path}-state"):
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    query = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).format("parquet").start(path)
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        query = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).format("parquet").start(path)
+    finally:  # a query that has started keeps its own copy of the settings
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     return spark.read.schema(frame.schema).parquet(path)
