@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from corvane.session import shared_folder
 
+#: Fixed value: the cosine above which a found text hits.
+HIT_COSINE = 0.60
 #: Distinct values that are sorted as one slice, and parts of a larger one.
 WITHIN, PARTS = 1_000_000, 32
 

@@ -197,3 +197,8 @@ def parse_ranking(answer: Column, n: Column) -> Column:
     valid = F.array_distinct(F.filter(told, lambda x: (x >= 1) & (x <= n)))
     every = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     return F.array_union(valid, every)
+
+
+def relevance(hits: DataFrame, qkey: str, score: str = "score", first: int = 3) -> DataFrame:
+    """qkey and relevance: the greatest cosine among the first hits; a query without hits has no row, and so no relevance."""
+    return hits.filter(F.col("rank") <= first).groupBy(qkey).agg(F.max(score).alias("relevance"))

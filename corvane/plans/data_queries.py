@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,7 @@ from corvane.operators import retrieval as R
 from corvane.sources.readers import html_text
 from corvane.session import load
 from corvane.streaming import gateway as W
+from corvane.streaming import keyed as K
 from corvane.streaming import timers as T
 
 
@@ -119,6 +122,32 @@ def eval_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.coalesce("kind", F.lit("all")).alias("kind"), "n", F.round("hit3", 3).alias("hit3"), F.round("mrr", 3).alias("mrr"))
 
 
+def eval_cosine_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits by meaning: a found vector hits where its cosine with the reference's, which is the next one, is above 0.60."""
+    e = load(spark, sf, "embeddings")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    reference = e.select((F.col("vec_id") - 1).alias("q"), F.col("embedding").alias("wanted"))
+    found = R.dense(q, e, "q", "vec_id", 5).join(e, "vec_id").join(reference, "q")
+    out = E.hit_metrics(found, "q", R.cosine(F.col("wanted"), F.col("embedding")) > E.HIT_COSINE)
+    return out.select("n", *[F.round(c, 4).alias(c) for c in ("hit1", "hit3", "hit5", "mrr")])
+
+
+def _sessions(turns: DataFrame) -> tuple:
+    """Conversations as sessions in eight buckets of no more than two, each of three messages at most; turns come in order, and conversations by number."""
+    rows = turns.select(F.pmod(F.xxhash64("conv_id"), F.lit(8)).alias("bucket"), "turn", "conv_id", F.col("conv_id").alias("session"), "text")
+    return rows, "bucket", ["turn", "conv_id"], ["session", "text"], partial(K.session_step, most=2, messages=3), "held int, gone array<string>"
+
+
+def session_store_replay(spark: SparkSession, sf: str) -> DataFrame:
+    return K.replay(*_sessions(load(spark, sf, "conversations")))
+
+
+def stream_session_store(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{sf}/conversations.parquet"
+    turns = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    return W.run_once(K.stream(*_sessions(turns)), "stream-store")
+
+
 def classifier_confusion(spark: SparkSession, sf: str) -> DataFrame:
     out = E.confusion(load(spark, sf, "labels"), "quality", "toxic", [0, 1])
     return out.select("quality", F.col("0").alias("toxic0"), F.col("1").alias("toxic1"))
@@ -175,11 +204,12 @@ QUERIES = {
     for f in (
         chunk_documents, manifest_diff, embed_cache_miss, html_to_units, table_merge, rate_limit_replay, rate_window, near_duplicate_replay, cost_ledger_windows, session_lru, recent_buffer,
         history_trim, history_tokens, usage_by_request, latency_percentiles, eval_hit_mrr, eval_by_type, classifier_confusion, feedback_distinct, judge_scores, stream_sessions, stream_dedup, stream_rate_limit,
-        stream_state_sweep, stream_closed_sessions,
+        stream_state_sweep, stream_closed_sessions, eval_cosine_hits, session_store_replay, stream_session_store,
     )
 }
 
 _EST = "CAST(floor(len(regexp_extract_all({0}, '[一-鿿]')) * 1.5::DOUBLE + (length({0}) - len(regexp_extract_all({0}, '[一-鿿]'))) * 0.3::DOUBLE) AS BIGINT)"
+_COS = "list_dot_product(v, e) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(e, e)) + 1e-9)"
 _RANKED = """lq AS (SELECT vec_id AS q, label AS wanted, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
     s AS (SELECT q, wanted, vec_id, label, list_dot_product(v, e) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(e, e)) + 1e-9) AS score FROM lq, (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)),
     k AS (SELECT q, wanted, label, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s WHERE vec_id <> q),
@@ -211,6 +241,10 @@ ORACLE = {
         SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) FILTER (k = least(n, floor(n * 0.5::DOUBLE) + 1)) AS p50, max(value) FILTER (k = least(n, floor(n * 0.95::DOUBLE) + 1)) AS p95, max(value) FILTER (k = least(n, floor(n * 0.99::DOUBLE) + 1)) AS p99 FROM r GROUP BY event_type""",
     "eval_hit_mrr": f"WITH {_RANKED} SELECT count(*) AS n, round(avg((coalesce(r, 99) <= 1)::INT), 4) AS hit1, round(avg((coalesce(r, 99) <= 3)::INT), 4) AS hit3, round(avg((coalesce(r, 99) <= 5)::INT), 4) AS hit5, round(avg(coalesce(1.0::DOUBLE / r, 0)), 4) AS mrr FROM f",
     "eval_by_type": f"WITH {_RANKED}, g AS (SELECT CASE WHEN wanted % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, r FROM f) SELECT coalesce(kind, 'all') AS kind, count(*) AS n, round(avg((coalesce(r, 99) <= 3)::INT), 3) AS hit3, round(avg(coalesce(1.0::DOUBLE / r, 0)), 3) AS mrr FROM g GROUP BY ROLLUP (kind)",
+    "eval_cosine_hits": f"""WITH lq AS (SELECT vec_id AS q, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), w AS (SELECT vec_id - 1 AS q, embedding::DOUBLE[] AS v FROM embeddings),
+        s AS (SELECT q, vec_id, e, {_COS} AS score FROM lq, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s),
+        f AS (SELECT q, min(rank) FILTER ({_COS} > 0.6::DOUBLE) AS r FROM k JOIN w USING (q) WHERE rank <= 5 GROUP BY q)
+        SELECT count(*) AS n, round(avg((coalesce(r, 99) <= 1)::INT), 4) AS hit1, round(avg((coalesce(r, 99) <= 3)::INT), 4) AS hit3, round(avg((coalesce(r, 99) <= 5)::INT), 4) AS hit5, round(avg(coalesce(1.0::DOUBLE / r, 0)), 4) AS mrr FROM f""",
     "classifier_confusion": "SELECT quality, count(*) FILTER (toxic = 0) AS toxic0, count(*) FILTER (toxic = 1) AS toxic1 FROM labels GROUP BY quality",
     "feedback_distinct": "SELECT props, min(event_id) AS first_seen, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY props",
     "judge_scores": "WITH c AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE CAST(c_custkey % 5 AS INT) END AS score FROM customer) SELECT score, count(*) AS n FROM c GROUP BY score",

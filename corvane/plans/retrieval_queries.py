@@ -10,6 +10,7 @@ from corvane.functions.text import entities
 from corvane.operators import graph as G
 from corvane.operators import retrieval as R
 from corvane.operators import text_index as T
+from corvane.operators import variants as X
 from corvane.operators import vector_index as V
 from corvane.plans.text_queries import DICTIONARY
 from corvane.session import index_root, load
@@ -192,11 +193,41 @@ def alias_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     return G.subgraph(G.chart(_edges(spark, sf), aliases), focus)
 
 
+def stand_in(prompts: list[str]) -> list[str]:
+    """A generator without a model, of prompts "kind|question": some questions it fails on, and to some it answers nothing."""
+    out = []
+    for kind, q in (p.split("|", 1) for p in prompts):
+        if len(q) % 7 == 0:
+            raise ValueError("no answer")
+        told = {"draft": f"{q} {q}", "step_back": q[:40], "sub_question": f"1. {q[:30]}\n\n2) {q[30:60]}\n{q[60:90]}"}
+        out.append(" \n" if len(q) % 5 == 0 else told[kind])
+    return out
+
+
+def query_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark texts as questions, each third one compound."""
+    items = load(spark, sf, "benchmark")
+    return X.variants(items, "item_id", "text", F.col("item_id") % 3 == 0, {k: k + "|{question}" for k in X.COMPOUND}, stand_in)
+
+
+def variant_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Three variants of each item, that search by the vectors of its number and of the next two; the documents found, equal texts once."""
+    items, e = load(spark, sf, "benchmark"), load(spark, sf, "embeddings")
+    asked = items.select("item_id", F.explode(F.array(*[F.lit(p) for p in range(3)])).alias("pos")).withColumns({"vec_id": F.col("item_id") + F.col("pos"), "q": F.col("item_id") * 10 + F.col("pos")})
+    hits = R.dense(asked.join(e, "vec_id"), e, "q", "vec_id", 5).select(F.floor(F.col("q") / 10).alias("item_id"), (F.col("q") % 10).alias("pos"), "rank", "vec_id")
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return X.merge(hits.join(docs, "vec_id"), "item_id", "pos", "rank", "text").select("item_id", "pos", "vec_id", "merged_rank")
+
+
+def vector_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(R.relevance(vector_topk(spark, sf), "q"), "relevance")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_stats, bm25_stats_by_bucket, bm25_topk, vector_topk, vector_topk_ivf, rrf_fusion, weighted_fusion, retrieve_topk, entity_boost, semantic_dedup, listwise_parse, parent_expand, context_assembly,
-        graph_merge_nodes, graph_one_hop, graph_multi_hop, graph_conflicts, contra_theta_join, alias_subgraph,
+        graph_merge_nodes, graph_one_hop, graph_multi_hop, graph_conflicts, contra_theta_join, alias_subgraph, query_variants, variant_merge, vector_relevance,
     )
 }
 
@@ -242,6 +273,19 @@ ORACLE = {
     "bm25_stats": f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM ts",
     "bm25_stats_by_bucket": f"WITH {_TERMS} SELECT substr(md5(term), 1, 2) AS bucket, count(*) AS terms, sum(df)::BIGINT AS df, round(sum(idf), 4) AS idf FROM ts GROUP BY bucket",
     "bm25_topk": f"WITH {_BM25.replace("{k}", "15")} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM hits",
+    "query_variants": r"""WITH b AS (SELECT item_id, text AS q, length(text) AS n FROM benchmark), k AS (SELECT * FROM b, (VALUES ('draft', 0), ('step_back', 1), ('sub_question', 2)) v(kind, o) WHERE o = 0 OR item_id % 3 = 0),
+        c AS (SELECT *, regexp_replace(CASE o WHEN 0 THEN q || ' ' || q WHEN 1 THEN q[1:40] ELSE '1. ' || q[1:30] || chr(10) || chr(10) || '2) ' || q[31:60] || chr(10) || q[61:90] END, '^\s+|\s+$', '', 'g') AS c FROM k),
+        a AS (SELECT *, CASE WHEN n % 7 = 0 THEN 'error' WHEN n % 5 = 0 OR length(c) < CASE o WHEN 0 THEN 20 ELSE 1 END THEN 'kept' ELSE 'ok' END AS outcome FROM c),
+        l AS (SELECT *, list_filter(list_transform(string_split(c, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^\d+[.、)\s\-]+', ''))), lambda x: x <> '')[1:4] AS lines FROM a),
+        p AS (SELECT *, CASE WHEN outcome <> 'ok' THEN [q] WHEN o = 2 AND len(lines) > 0 THEN lines WHEN o = 2 THEN [q] ELSE [c] END AS parts FROM l)
+        SELECT item_id, (o + i - 1)::INT AS pos, kind, outcome, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p)""",
+    "variant_merge": f"""WITH lq AS (SELECT item_id, p AS pos, embedding::DOUBLE[] AS q FROM benchmark, range(3) t(p), embeddings WHERE vec_id = item_id + p),
+        s AS (SELECT item_id, pos, vec_id, {_COS} AS score FROM lq, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY item_id, pos ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s), h AS (SELECT k.*, text FROM k JOIN documents ON doc_id = vec_id WHERE rank <= 5),
+        f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY item_id, text ORDER BY pos, rank) = 1)
+        SELECT item_id, pos, vec_id, row_number() OVER (PARTITION BY item_id ORDER BY pos, rank) AS merged_rank FROM f QUALIFY merged_rank <= 12""",
+    "vector_relevance": f"""WITH {_LQ}, s AS (SELECT id, vec_id, {_COS} AS score FROM lq, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))
+        SELECT id AS q, max(round(score, 6)) AS relevance FROM s GROUP BY id""",
     "vector_topk": f"""WITH {_LQ}, s AS (SELECT id, vec_id, {_COS} AS score FROM lq, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s) SELECT id AS q, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 15""",
     "rrf_fusion": f"""WITH {_BM25.replace("{k}", "15")}, {_PATHS.replace("{v}", "10")}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id, path ORDER BY round(score, 9) DESC, doc_id) AS r FROM paths),

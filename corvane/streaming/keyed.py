@@ -21,6 +21,8 @@ Step = Callable[[Any, tuple], tuple[tuple, Any]]
 #: A cost window's seconds, a cache's entries and how many go at once, a breaker's failures and seconds.
 WINDOW_S = 86_400
 CACHE_MOST, CACHE_EVICTED = 200, 40
+#: Sessions a bucket keeps, and messages a session keeps. All sessions together are bounded by buckets times the first.
+SESSIONS, MESSAGES = 64, 40
 FAILURES, OPEN_S = 3, 30.0
 
 
@@ -119,3 +121,18 @@ def noise_by_tag(state: dict | None, row: tuple) -> tuple[tuple, dict]:
     repeated, kept = noise_step(held.get(tag, []), row[1] or "")
     held[tag] = kept
     return (repeated,), held
+
+
+def session_step(state: list | None, row: tuple, most: int = SESSIONS, messages: int = MESSAGES) -> tuple[tuple, list]:
+    """row: (session, text or null), of a bucket of sessions. A text is appended, without one the session is only read; both touch it.
+    Outputs: the messages it holds and the sessions that went, those touched longest ago first. A session that is only read and isn't there stays away; a null session is no session."""
+    held, (name, text) = [list(s) for s in state or []], row
+    if name is None:
+        return (None, []), held
+    at = next((k for k, s in enumerate(held) if s[0] == name), None)
+    kept = held.pop(at)[1] if at is not None else []
+    if at is None and text is None:
+        return (0, []), held
+    held.append([name, [*kept, *([text] if text is not None else [])][-messages:]])
+    gone = [str(s[0]) for s in held[: max(0, len(held) - most)]]
+    return (len(held[-1][1]), gone), held[len(gone) :]
