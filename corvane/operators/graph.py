@@ -82,6 +82,48 @@ def multi_hop(seeds: DataFrame, edges: DataFrame, qkey: str, depth: int, k: int
     return near_by.withColumn("score", score).withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k)
 
 
+def simple_paths(seeds: DataFrame, edges: DataFrame, qkey: str, depth: int, limit: int = 15) -> DataFrame:
+    """Directed paths of 1 to depth (3 at most) edges that come to no node twice; columns as of trails(), and nodes.
+
+    Each seed has a quota, limit over the query's number of seeds, 1 at least, so that the first seed doesn't take it all; shorter paths
+    first, then by edge ids. As a path is only gone on from where it is within the quota, each hop is cut to it."""
+    depth, once = max(1, min(3, depth)), seeds.distinct()
+    quota = once.groupBy(qkey).agg(F.greatest(F.lit(1), F.floor(F.lit(limit) / F.count(F.lit(1)))).alias("_quota"))
+    by_seed = Window.partitionBy(qkey, "start")
+    e = edges.select(F.col("edge_id").alias("_e"), F.col("src").alias("_s"), F.col("dst").alias("_d"), F.coalesce("relation", "rel_type").alias("_l"))
+    none = F.array().cast("array<string>")
+    now = once.join(quota, qkey).select(qkey, "_quota", F.col("src").alias("start"), F.col("src").alias("dst"), F.array().cast(f"array<{dict(e.dtypes)['_e']}>").alias("edge_ids"), none.alias("labels"), F.array("src").alias("nodes"))
+    out = None
+    for _ in range(depth):
+        step = now.join(e, F.col("dst") == F.col("_s")).filter(~F.array_contains("nodes", F.col("_d")))
+        step = step.select(qkey, "_quota", "start", F.col("_d").alias("dst"), F.concat("edge_ids", F.array("_e")).alias("edge_ids"), F.concat("labels", F.array("_l")).alias("labels"), F.concat("nodes", F.array("_d")).alias("nodes"))
+        now = step.withColumn("_n", F.row_number().over(by_seed.orderBy(_path_order()))).filter(F.col("_n") <= F.col("_quota")).drop("_n")
+        out = now if out is None else out.unionByName(now)
+    out = out.withColumn("hops", F.size("edge_ids").cast("bigint"))
+    return out.withColumn("_n", F.row_number().over(by_seed.orderBy("hops", _path_order()))).filter(F.col("_n") <= F.col("_quota")).drop("_n", "_quota")
+
+
+def rank_paths(found: DataFrame, qkey: str, k: int = 5, scores: Mapping[str, float] = LABEL_SCORES, forbidden: str = "forbidden") -> DataFrame:
+    """The k best paths of each query: the last label's score over the hops, half as much again through a forbidden edge, 1 at most."""
+    base = label_score(F.element_at("labels", -1), scores) / F.col("hops")
+    score = F.when(F.array_contains("labels", forbidden), F.least(F.lit(1.0), base * FORBIDDEN_BOOST)).otherwise(base)
+    best = Window.partitionBy(qkey).orderBy(F.desc(F.round("score", 9)), F.asc("hops"), _path_order())
+    return found.withColumn("score", score).withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k)
+
+
+def path_metrics(ranked: DataFrame, seeds: DataFrame, qkey: str, forbidden: str = "forbidden", first: int = 3) -> DataFrame:
+    """One row over all queries that have seeds: n; recall, the share with a forbidden label among their paths; top1, the share that begin with one;
+    coverage, the share whose first paths go through all their seeds; and the mean hops of all paths."""
+    wanted = seeds.distinct().groupBy(qkey).agg(F.count(F.lit(1)).alias("_seeds"))
+    near = F.col("rank") <= first
+    through = seeds.distinct().join(ranked.filter(near).select(qkey, F.explode("nodes").alias("src")).distinct(), [qkey, "src"]).groupBy(qkey).agg(F.count(F.lit(1)).alias("_through"))
+    last = F.element_at("labels", -1) == forbidden
+    told = ranked.groupBy(qkey).agg(F.max(last.cast("int")).alias("_any"), F.max((last & (F.col("rank") == 1)).cast("int")).alias("_top"), F.sum("hops").alias("_hops"), F.count(F.lit(1)).alias("_paths"))
+    rows = wanted.join(told, qkey, "left").join(through, qkey, "left")
+    share = lambda c: F.avg(F.coalesce(c, F.lit(0)).cast("double"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), share(F.col("_any")).alias("recall"), share(F.col("_top")).alias("top1"), share((F.col("_through") == F.col("_seeds")).cast("int")).alias("coverage"), (F.sum("_hops") / F.sum("_paths")).alias("mean_hops"))
+
+
 def mark_conflicts(rows: DataFrame, qkey: str, target: str, label: str, seq: str) -> DataFrame:
     """conflict: whether the row before, of the same target, has another label."""
     before = F.lag(label).over(Window.partitionBy(qkey, target).orderBy(seq))

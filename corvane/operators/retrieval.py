@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -24,9 +24,9 @@ def top_k(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, n
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")).filter(F.col(name) <= k)
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """term, key, tf and the document's length dl."""
-    tokens = docs.select(key, words(F.col(text)).alias("_w")).withColumn("dl", F.size("_w").cast("bigint"))
+def postings(docs: DataFrame, key: str, text: str = "text", tokenizer: Callable[[Column], Column] = words) -> DataFrame:
+    """term, key, tf and the document's length dl. tokenizer: an array of words of a text; functions.dictionary has another one."""
+    tokens = docs.select(key, tokenizer(F.col(text)).alias("_w")).withColumn("dl", F.size("_w").cast("bigint"))
     return tokens.select(key, "dl", F.explode("_w").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import route_weights
-from corvane.functions.text import entities
+from corvane.functions import dictionary as Z
+from corvane.functions.text import entities, words
 from corvane.operators import graph as G
 from corvane.operators import retrieval as R
 from corvane.operators import text_index as T
@@ -193,6 +194,23 @@ def alias_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     return G.subgraph(G.chart(_edges(spark, sf), aliases), focus)
 
 
+def graph_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer with the next one as a query of two seeds."""
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("q"))
+    seeds = c.select("q", F.explode(F.array(F.col("q"), F.col("q") + 1)).alias("k")).select("q", F.concat(F.lit("c"), "k").alias("src"))
+    ranked = G.rank_paths(G.simple_paths(seeds, _edges(spark, sf), "q", 3), "q")
+    return _r(G.path_metrics(ranked, seeds, "q"), "recall", "top1", "coverage", "mean_hops")
+
+
+def dictionary_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark texts whose spaces are lost, cut by the 20,000 most frequent words of all conversations and benchmark texts; the words, and the share the dictionary has."""
+    items, turns = load(spark, sf, "benchmark"), load(spark, sf, "conversations")
+    counted = items.select("text").unionByName(turns.select("text")).select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    known = Z.dictionary(counted, most=20_000)
+    cut = items.select("item_id", Z.tokenizer(known, r"\p{L}+")(F.regexp_replace(F.lower("text"), " ", "")).alias("words"))
+    return cut.select("item_id", F.array_join("words", " ").alias("words"), F.round(Z.coverage(known)(F.col("words")), 6).alias("coverage"))
+
+
 def stand_in(prompts: list[str]) -> list[str]:
     """A generator without a model, of prompts "kind|question": some questions it fails on, and to some it answers nothing."""
     out = []
@@ -228,6 +246,7 @@ QUERIES = {
     for f in (
         bm25_stats, bm25_stats_by_bucket, bm25_topk, vector_topk, vector_topk_ivf, rrf_fusion, weighted_fusion, retrieve_topk, entity_boost, semantic_dedup, listwise_parse, parent_expand, context_assembly,
         graph_merge_nodes, graph_one_hop, graph_multi_hop, graph_conflicts, contra_theta_join, alias_subgraph, query_variants, variant_merge, vector_relevance,
+        graph_evaluation, dictionary_words,
     )
 }
 
@@ -273,6 +292,17 @@ ORACLE = {
     "bm25_stats": f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM ts",
     "bm25_stats_by_bucket": f"WITH {_TERMS} SELECT substr(md5(term), 1, 2) AS bucket, count(*) AS terms, sum(df)::BIGINT AS df, round(sum(idf), 4) AS idf FROM ts GROUP BY bucket",
     "bm25_topk": f"WITH {_BM25.replace("{k}", "15")} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM hits",
+    "graph_evaluation": f"""WITH {_EDGES}, x AS (SELECT c_custkey AS q, unnest([c_custkey, c_custkey + 1]) AS k FROM customer), w AS (SELECT q, 'c' || k AS start FROM x),
+        p1 AS (SELECT q, start, e.dst, 1 AS hops, e.edge_id AS e1, 0 AS e2, 0 AS e3, e.relation AS l, e.relation = 'forbidden' AS f, [start, e.dst] AS nodes FROM w JOIN e ON e.src = start AND e.dst <> start),
+        p2 AS (SELECT q, start, e.dst, 2 AS hops, e1, e.edge_id AS e2, 0 AS e3, e.relation AS l, f OR e.relation = 'forbidden' AS f, list_append(nodes, e.dst) AS nodes FROM p1 JOIN e ON e.src = p1.dst AND NOT list_contains(nodes, e.dst)),
+        p3 AS (SELECT q, start, e.dst, 3, e1, e2, e.edge_id, e.relation, f OR e.relation = 'forbidden', list_append(nodes, e.dst) FROM p2 JOIN e ON e.src = p2.dst AND NOT list_contains(nodes, e.dst)),
+        p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3),
+        k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY q, start ORDER BY hops, e1, e2, e3) <= 7),
+        s AS (SELECT *, CASE l WHEN 'forbidden' THEN 1.0::DOUBLE WHEN 'rehab' THEN 0.9::DOUBLE WHEN 'caution' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END / hops AS b FROM k),
+        r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(CASE WHEN f THEN least(1.0, b * 1.5) ELSE b END, 9) DESC, hops, e1, e2, e3) AS rank FROM s QUALIFY rank <= 5),
+        g AS (SELECT q, max((l = 'forbidden')::INT) AS a, max((l = 'forbidden' AND rank = 1)::INT) AS t, count(DISTINCT start) FILTER (rank <= 3) AS c, sum(hops) AS h, count(*) AS n FROM r GROUP BY q)
+        SELECT (SELECT count(*) FROM customer) AS n, round(sum(a) / (SELECT count(*) FROM customer), 6) AS recall, round(sum(t) / (SELECT count(*) FROM customer), 6) AS top1,
+            round(count(*) FILTER (c = 2) / (SELECT count(*) FROM customer), 6) AS coverage, round(sum(h) / sum(n), 6) AS mean_hops FROM g""",
     "query_variants": r"""WITH b AS (SELECT item_id, text AS q, length(text) AS n FROM benchmark), k AS (SELECT * FROM b, (VALUES ('draft', 0), ('step_back', 1), ('sub_question', 2)) v(kind, o) WHERE o = 0 OR item_id % 3 = 0),
         c AS (SELECT *, regexp_replace(CASE o WHEN 0 THEN q || ' ' || q WHEN 1 THEN q[1:40] ELSE '1. ' || q[1:30] || chr(10) || chr(10) || '2) ' || q[31:60] || chr(10) || q[61:90] END, '^\s+|\s+$', '', 'g') AS c FROM k),
         a AS (SELECT *, CASE WHEN n % 7 = 0 THEN 'error' WHEN n % 5 = 0 OR length(c) < CASE o WHEN 0 THEN 20 ELSE 1 END THEN 'kept' ELSE 'ok' END AS outcome FROM c),
