@@ -24,14 +24,14 @@ def merge_edges(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["src", "dst", "rel_type", "relation", "description"])
 
 
-def store_nodes(writes: DataFrame, root: str) -> list[int]:
+def store_nodes(writes: DataFrame, root: str, buckets: int = keyed_table.BUCKETS) -> list[int]:
     """Merges writes (name, type, seq) into the stored nodes: the last write of a name holds, whichever load brought it. The buckets that were rewritten."""
-    return keyed_table.upsert(writes, f"{root}/nodes", ["name"], "seq")
+    return keyed_table.upsert(writes, f"{root}/nodes", ["name"], "seq", buckets=buckets)
 
 
-def store_edges(writes: DataFrame, root: str) -> list[int]:
+def store_edges(writes: DataFrame, root: str, buckets: int = keyed_table.BUCKETS) -> list[int]:
     """Merges writes (src, dst, rel_type, seq and properties) into the stored edges: one of a kind between two nodes, with the last write's properties."""
-    return keyed_table.upsert(writes, f"{root}/edges", ["src", "dst", "rel_type"], "seq")
+    return keyed_table.upsert(writes, f"{root}/edges", ["src", "dst", "rel_type"], "seq", buckets=buckets)
 
 
 def label_score(label: Column, scores: Mapping[str, float] = LABEL_SCORES) -> Column:

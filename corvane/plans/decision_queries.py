@@ -157,8 +157,8 @@ def graph_store_merge(spark: SparkSession, sf: str) -> DataFrame:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     day = F.to_date("o_orderdate").cast("string")
     edges = load(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.col("o_orderpriority").alias("dst"), F.lit("PLACED").alias("rel_type"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("relation"), day.alias("description"))
-    G.store_edges(edges.filter("relation = 'F'"), root)
-    G.store_edges(edges, root)
+    G.store_edges(edges.filter("relation = 'F'"), root, 16)
+    G.store_edges(edges, root, 16)
     return keyed_table.read(spark, f"{root}/edges", edges.schema)
 
 
