@@ -102,7 +102,7 @@ def hard_filter(text: Column, forbidden: Sequence[str], negations: Sequence[str]
     return F.struct(kept.alias("text"), removed.alias("removed"))
 
 
-def truncate_sentences(text: Column, max_tokens: int, marker: str = "[truncated]") -> Column:
+def truncate_sentences(text: Column, max_tokens: int | Column, marker: str = "[truncated]") -> Column:
     """Whole sentences from the start as long as their estimates fit; a text that fits stays; where no sentence fits, a share of its characters."""
     parts = F.regexp_extract_all(text, F.lit(r"([^。！？；!?;\n]*[。！？；!?;\n]|[^。！？；!?;\n]+$)"), F.lit(1))
     start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("used"), F.lit(True).alias("open"))
@@ -115,7 +115,7 @@ def truncate_sentences(text: Column, max_tokens: int, marker: str = "[truncated]
         )
 
     kept = F.aggregate(parts, start, step)["kept"]
-    share = F.greatest(F.lit(50), F.floor(F.char_length(text) * (F.lit(float(max_tokens)) / F.greatest(token_estimate(text), F.lit(1)))).cast("int"))
+    share = F.greatest(F.lit(50), F.floor(F.char_length(text) * ((max_tokens if isinstance(max_tokens, Column) else F.lit(max_tokens)).cast("double") / F.greatest(token_estimate(text), F.lit(1)))).cast("int"))
     short = F.concat(F.substring(text, F.lit(1), share), F.lit("…"))
     return F.when(F.coalesce(text, F.lit("")) == "", "").when(token_estimate(text) <= max_tokens, text).when(kept == "", short).otherwise(F.concat(kept, F.lit(marker)))
 

@@ -12,6 +12,8 @@ from corvane.session import shared_folder
 
 #: Fixed value: the cosine above which a found text hits.
 HIT_COSINE = 0.60
+#: Documents that a judge sees, characters of a mistake that are shown.
+JUDGED, MISTAKE_CHARS = 3, 40
 #: Distinct values that are sorted as one slice, and parts of a larger one.
 WITHIN, PARTS = 1_000_000, 32
 
@@ -70,6 +72,33 @@ def confusion(rows: DataFrame, predicted: str, expected: str, values: list) -> D
     return rows.groupBy(predicted).pivot(expected, values).agg(F.count(F.lit(1))).fillna(0)
 
 
+def accuracy(rows: DataFrame, predicted: Column, expected: Column) -> DataFrame:
+    """One row: n, correct and accuracy of predictions; a null is a value like any other, and equals a null."""
+    right = predicted.eqNullSafe(expected)
+    told = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(right.cast("bigint")), F.lit(0)).alias("correct"))
+    return told.withColumn("accuracy", F.when(F.col("n") > 0, F.col("correct") / F.col("n")))
+
+
+def mistakes(rows: DataFrame, key: str, predicted: Column, expected: Column, text: Column, chars: int = MISTAKE_CHARS) -> DataFrame:
+    """key, predicted, expected and the beginning of the text of every wrong prediction."""
+    told = rows.select(key, predicted.alias("predicted"), expected.alias("expected"), F.substring(text, 1, chars).alias("text"))
+    return told.filter(~F.col("predicted").eqNullSafe(F.col("expected")))
+
+
+def matching_first(hits: DataFrame, qkey: str, query_labels: str, doc_labels: str, k: int = JUDGED) -> DataFrame:
+    """hits with a new rank: those whose labels meet the query's before the others, both in their old order, and the k first. A null array has no labels."""
+    none = F.array().cast("array<string>")
+    match = F.arrays_overlap(F.coalesce(F.col(query_labels), none), F.coalesce(F.col(doc_labels), none))
+    order = Window.partitionBy(qkey).orderBy(F.desc("_match"), F.asc("_old"))
+    return hits.withColumn("_match", F.coalesce(match, F.lit(False))).withColumnRenamed("rank", "_old").withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k).drop("_match", "_old")
+
+
+def judge_means(judged: DataFrame, measures: tuple[str, ...], by: str | None = None) -> DataFrame:
+    """n and the mean of each measure, of 0 to 1, over the rows that have it; by: for each of its values, and one row, with null, for all."""
+    told = [F.count(F.lit(1)).alias("n"), *[F.avg(F.when(F.col(m).between(0.0, 1.0), F.col(m))).alias(m) for m in measures]]
+    return judged.rollup(by).agg(*told) if by else judged.agg(*told)
+
+
 def feedback_report(rows: DataFrame, vote: str, question: str, order: str) -> DataFrame:
     """Distinct questions voted down, where each came first."""
     return rows.filter(F.col(vote) == "down").groupBy(question).agg(F.min(order).alias("first_seen"), F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ from corvane.sources import keyed_table
 #: Scores of relation labels.
 LABEL_SCORES = {"forbidden": 1.0, "rehab": 0.9, "caution": 0.7}
 OTHER_SCORE, FORBIDDEN_BOOST = 0.5, 1.5
+#: Trails that are listed, and the most that may be asked for.
+LISTED, LISTED_MOST = 30, 50
 
 
 def merge_nodes(writes: DataFrame) -> DataFrame:
@@ -41,6 +43,33 @@ def label_score(label: Column, scores: Mapping[str, float] = LABEL_SCORES) -> Co
     return out
 
 
+def relation_label(prop: Column, rel_type: Column, description: Column, labels: Sequence[str] = tuple(LABEL_SCORES)) -> Column:
+    """The first of the labels, in their order, that an edge's property, type or description has in it; without one the description, or else the type."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    found = [F.when(F.contains(empty(prop), F.lit(n)) | F.contains(empty(rel_type), F.lit(n)) | F.contains(empty(description), F.lit(n)), F.lit(n)) for n in labels]
+    return F.coalesce(*found, F.when(F.char_length(description) > 0, description), rel_type)
+
+
+def labelled(edges: DataFrame, labels: Sequence[str] = tuple(LABEL_SCORES)) -> DataFrame:
+    """edges (relation, rel_type, description) whose relation is the label that relation_label() finds."""
+    return edges.withColumn("relation", relation_label(F.col("relation"), F.col("rel_type"), F.col("description"), labels))
+
+
+def list_paths(starts: DataFrame, edges: DataFrame, aliases: DataFrame, qkey: str, depth: int = 2, limit: int = LISTED) -> DataFrame:
+    """qkey, pos, start, nodes, labels and hops of the first trails from each query's start (name), which goes by its canonical name where it has an alias.
+
+    Shorter trails first, then by edge ids; depth is held to 1 to 3, limit to 1 to 50. aliases (alias, canonical) is a short dictionary of distinct aliases.
+    Only the edges of the trails that are listed are looked up for their nodes."""
+    limit = max(1, min(LISTED_MOST, limit))
+    named = starts.join(F.broadcast(aliases.select("alias", "canonical")), F.col("name") == F.col("alias"), "left")
+    seeds = named.select(qkey, F.coalesce("canonical", "name").alias("src"))
+    order = Window.partitionBy(qkey).orderBy("hops", _path_order())
+    first = trails(seeds, edges, qkey, depth, limit).withColumn("pos", F.row_number().over(order).cast("bigint")).filter(F.col("pos") <= limit)
+    ends = first.select(qkey, "pos", F.posexplode("edge_ids").alias("_k", "edge_id")).join(edges.select("edge_id", F.col("dst").alias("_node")), "edge_id")
+    nodes = ends.groupBy(qkey, "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_node"))), lambda x: x["_node"]).alias("_nodes"))
+    return first.join(nodes, [qkey, "pos"]).select(qkey, "pos", "start", F.concat(F.array("start"), F.col("_nodes")).alias("nodes"), "labels", "hops")
+
+
 def one_hop(seeds: DataFrame, edges: DataFrame, qkey: str, k: int = 15, scores: Mapping[str, float] = LABEL_SCORES) -> DataFrame:
     """Out-edges of each query's seeds (qkey, src), best label first."""
     hit = seeds.distinct().join(edges, "src").withColumn("score", label_score(F.coalesce("relation", "rel_type"), scores))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.functions.text import is_garbled
+
 TABLE_SEPARATOR = "\x1e"
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", ". ", ", ", " ", "")
 
@@ -104,6 +106,20 @@ def hash_embed(text: Column, dim: int = 64) -> Column:
     return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
 
 
+def quality_loop(pages: DataFrame, key: str, again: Callable[[DataFrame], DataFrame], garbled: Callable[[Column], Column] = is_garbled) -> tuple[DataFrame, DataFrame]:
+    """Pages (key, text and more) that are fit to keep, and the keys of those dropped.
+
+    Garbled pages, those alone, are read once more by again (rows in, key and text out: the same pages at a higher resolution, say); what is blank or garbled
+    still, or doesn't come back, is dropped. tries is 1 or 2. A page that is null or blank at first is garbled too. Keys are distinct."""
+    told = pages.withColumn("_bad", garbled(F.col("text")))
+    fine = told.filter(~F.col("_bad")).drop("_bad").withColumn("tries", F.lit(1))
+    poor = told.filter("_bad").drop("_bad")
+    second = again(poor).select(key, F.col("text").alias("_again"))
+    mended = poor.join(second, key).filter(~garbled(F.col("_again")) & ~F.col("_again").rlike(r"^\s*$"))
+    mended = mended.withColumn("text", F.col("_again")).drop("_again").select(*pages.columns).withColumn("tries", F.lit(2))
+    return fine.unionByName(mended), poor.select(key).join(mended.select(key), key, "left_anti")
+
+
 def real_table(rows: Column) -> Column:
     """rows (array of arrays of text) look like a table: 2 rows and columns at least, 30 % of cells filled, two rows with two filled cells."""
     filled = F.transform(rows, lambda r: F.size(F.filter(r, lambda c: F.coalesce(F.trim(c), F.lit("")) != "")))

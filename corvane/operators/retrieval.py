@@ -191,11 +191,11 @@ def assemble_context(hits: DataFrame, qkey: str, preferred: Column, max_docs: in
     return told.select(qkey, F.array_join(F.transform("_p", lambda p: p["_part"]), joiner).alias("context"), F.size("_p").cast("bigint").alias("n_docs"))
 
 
-def parse_ranking(answer: Column, n: Column) -> Column:
-    """Order of n candidates from a free-text answer: its valid, distinct numbers (from 1), then the others in order."""
-    told = F.transform(F.regexp_extract_all(answer, F.lit(r"(\d{1,9})"), F.lit(1)), lambda x: x.cast("int"))
-    valid = F.array_distinct(F.filter(told, lambda x: (x >= 1) & (x <= n)))
-    every = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+def parse_ranking(answer: Column, n: Column, first: int = 1) -> Column:
+    """Order of n candidates from a free-text answer: its valid, distinct numbers (counted from first), then the others in order."""
+    told = F.transform(F.regexp_extract_all(answer, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
+    valid = F.array_distinct(F.filter(told, lambda x: (x >= first) & (x < n + first)))
+    every = F.when(n > 0, F.sequence(F.lit(first), F.greatest(n + first - 1, F.lit(first)))).otherwise(F.array().cast("array<int>"))
     return F.array_union(valid, every)
 
 

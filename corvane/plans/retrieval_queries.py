@@ -80,7 +80,7 @@ def _paths(spark: SparkSession, sf: str, bm25: int = 15, vector: int = 10, graph
         ("bm25", _bm25(spark, sf, bm25)), ("vector", R.dense(asked, e, "item_id", "vec_id", vector).withColumnRenamed("vec_id", "doc_id")),
         ("graph", G.one_hop(seeds, edges, "item_id", graph).withColumnRenamed("edge_id", "doc_id")),
     ]
-    a, b, c = (hits.select("item_id", "doc_id", F.lit(path).alias("path"), F.col("score").cast("double").alias("score")) for path, hits in found)
+    a, b, c = (hits.select("item_id", "doc_id", F.lit(path).alias("path"), F.col("score").cast("double").alias("score"), "rank") for path, hits in found)
     return a.unionByName(b).unionByName(c)
 
 

@@ -42,16 +42,21 @@ def load_text(spark: SparkSession, path: str) -> DataFrame:
 
 @register("csv")
 def load_csv(spark: SparkSession, path: str, longest_meta: int = 64) -> DataFrame:
-    """A record is a unit of "column: value" lines; columns with short values only are metadata too. Units are numbered in file order."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    names = rows.columns
-    longest = rows.agg(*[F.max(F.coalesce(F.char_length(F.col(f"`{n}`")), F.lit(0))).alias(f"c{i}") for i, n in enumerate(names)]).first()
-    short = [n for i, n in enumerate(names) if (longest[i] or 0) <= longest_meta]
-    body = F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), F.coalesce(F.col(f"`{n}`"), F.lit(""))) for n in names])
-    # A multi-line file is read by one task in order, so that the ids of its rows ascend by one.
-    out = rows.withColumn("_unit", F.monotonically_increasing_id())
-    meta = F.create_map(*[x for n in short for x in (F.lit(n), F.coalesce(F.col(f"`{n}`"), F.lit("")))], F.lit("source"), F.lit(path), F.lit("row"), F.col("_unit").cast("string"))
-    return out.select(F.lit(path).alias("path"), F.col("_unit").cast("int").alias("unit"), body.alias("text"), meta.alias("meta"))
+    """A record is a unit of "column: value" lines; columns whose values are all short are metadata too. Units are numbered from 0 in each file, in its order.
+
+    Files that path names together have the same columns."""
+    # A multi-line file is read by one task in order, so that the ids of its rows ascend by one from wherever they begin.
+    read = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    names = read.columns
+    rows = read.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)], F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_id"))
+    longest = rows.agg(*[F.max(F.coalesce(F.char_length(f"c{i}"), F.lit(0))) for i in range(len(names))]).first()
+    value = [F.coalesce(f"c{i}", F.lit("")) for i in range(len(names))]
+    body = F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), v) for n, v in zip(names, value, strict=True)])
+    first = rows.groupBy("_path").agg(F.min("_id").alias("_first"))
+    unit = (F.col("_id") - F.col("_first")).cast("int")
+    short = [x for i, n in enumerate(names) if (longest[i] or 0) <= longest_meta for x in (F.lit(n), value[i])]
+    meta = F.create_map(*short, F.lit("source"), F.col("_path"), F.lit("row"), unit.cast("string"))
+    return rows.join(first, "_path").select(F.col("_path").alias("path"), unit.alias("unit"), body.alias("text"), meta.alias("meta"))
 
 
 @register("html", "htm")
@@ -76,7 +81,10 @@ def load_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_events(spark: SparkSession, path: str) -> DataFrame:
-    """event (a map of text values) of each line that is a JSON object; other lines are skipped."""
+    """event (a map of text values) of each line that is a JSON object; other lines are skipped, and a path that names no file has none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop):
+        return spark.createDataFrame([], "event map<string,string>")
     parsed = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("event"))
     return parsed.filter("event IS NOT NULL")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from corvane.functions.decide import message_role
 from corvane.session import shared_folder
 
 #: Requests a window, its seconds, the cooldown's; near-duplicates' history and similarity.
@@ -106,8 +107,8 @@ def cost_windows(usage: DataFrame, key: str, ts: str, prompt: str, completion: s
 
 
 def hysteresis_step(low: bool, value: float, down: float = 3.0, up: float = 4.0) -> bool:
-    """Low from below down on until above up."""
-    return value < down or (low and value <= up)
+    """Low from below down on until up is reached."""
+    return value < down or (low and value < up)
 
 
 def history_trim(turns: DataFrame, key: str, order: str, tokens: str, budget: int = 2048, least: int = 2) -> DataFrame:
@@ -117,6 +118,15 @@ def history_trim(turns: DataFrame, key: str, order: str, tokens: str, budget: in
     return turns.withColumns({"_u": used, "_k": F.row_number().over(newest)}).filter((F.col("_u") <= budget) | (F.col("_k") <= least)).drop("_u", "_k")
 
 
+def truncate_messages(messages: DataFrame, key: str, order: str, role: str) -> DataFrame:
+    """What of an over-long conversation is sent at all: its system messages and the last one of a user; where it has neither, all of it."""
+    who = message_role(F.col(role))
+    whole = Window.partitionBy(key)
+    told = messages.withColumns({role: who, "_last": F.max(F.when(who == "user", F.col(order))).over(whole)})
+    told = told.withColumn("_in", F.coalesce((F.col(role) == "system") | ((F.col(role) == "user") & (F.col(order) == F.col("_last"))), F.lit(False)))
+    return told.withColumn("_any", F.bool_or("_in").over(whole)).filter(F.col("_in") | ~F.col("_any")).drop("_last", "_in", "_any")
+
+
 def lru(sessions: DataFrame, last: str, tie: str, keep: int = 64) -> DataFrame:
     """Sessions that stay: the last touched; untouched ones go first."""
     return sessions.orderBy(F.col(last).desc_nulls_last(), F.col(tie)).limit(keep)

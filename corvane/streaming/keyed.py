@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corvane.streaming.gateway import noise_step
+from corvane.streaming.gateway import hysteresis_step, noise_step
 
 Step = Callable[[Any, tuple], tuple[tuple, Any]]
 
@@ -136,3 +136,11 @@ def session_step(state: list | None, row: tuple, most: int = SESSIONS, messages:
     held.append([name, [*kept, *([text] if text is not None else [])][-messages:]])
     gone = [str(s[0]) for s in held[: max(0, len(held) - most)]]
     return (len(held[-1][1]), gone), held[len(gone) :]
+
+
+def memory_step(state: dict | None, row: tuple, down: float = 3.0, up: float = 4.0) -> tuple[tuple, dict]:
+    """Degraded from a value below down on until one of up or more; changed tells both moments. A null value changes nothing."""
+    low = bool(state and state["low"])
+    value = row[0]
+    now = low if value is None else hysteresis_step(low, value, down, up)
+    return (now, now != low), {"low": now}

@@ -1,9 +1,9 @@
 import pytest
 from oracle import assert_same
 
-from corvane.plans import data_queries, retrieval_queries, text_queries
+from corvane.plans import answer_queries, data_queries, retrieval_queries, text_queries
 
-MODULES = (text_queries, retrieval_queries, data_queries)
+MODULES = (text_queries, retrieval_queries, data_queries, answer_queries)
 SF = "/root/testdata/sf0.001"
 SQL = {k: (m.QUERIES[k], s) for m in MODULES for k, s in m.ORACLE.items()}
 REST = {k: q for m in MODULES for k, q in m.QUERIES.items() if k not in m.ORACLE}
