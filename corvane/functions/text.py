@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # Classes of characters, rules and thresholds whose results must agree with the system this engine replaces.
 HAN = "[一-鿿]"
@@ -45,10 +47,20 @@ def valid_ratio(text: Column) -> Column:
 
 
 def repetition_ratio(text: Column) -> Column:
-    """Share of the commonest character: for each distinct one, how much shorter the text is without it."""
+    """Share of the commonest character. A count over characters has no built-in function that isn't one pass for each distinct one, so it is an Arrow one."""
+
+    def commonest(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def most(points: np.ndarray) -> int:
+            high = points[points > 0xFFFF]  # characters beyond the first plane are few, and sorted
+            low = np.bincount(points[points <= 0xFFFF]).max(initial=0)
+            return int(max(low, np.unique(high, return_counts=True)[1].max() if high.size else 0))
+
+        return texts.map(lambda t: most(np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)))
+
     n = F.char_length(text)
-    most = F.array_max(F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(c == "", 0).otherwise(n - F.char_length(F.replace(text, c, F.lit(""))))))
-    return F.when(n > 0, most / n).otherwise(0.0)
+    return F.when(n > 0, F.pandas_udf(commonest, IntegerType())(F.coalesce(text, F.lit(""))) / n).otherwise(0.0)
 
 
 def is_garbled(text: Column, coverage: Column | None = None) -> Column:
@@ -105,19 +117,20 @@ def hard_filter(text: Column, forbidden: Sequence[str], negations: Sequence[str]
 def truncate_sentences(text: Column, max_tokens: int | Column, marker: str = "[truncated]") -> Column:
     """Whole sentences from the start as long as their estimates fit; a text that fits stays; where no sentence fits, a share of its characters."""
     parts = F.regexp_extract_all(text, F.lit(r"([^。！？；!?;\n]*[。！？；!?;\n]|[^。！？；!?;\n]+$)"), F.lit(1))
-    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("used"), F.lit(True).alias("open"))
+    parts = F.transform(parts, lambda p: F.struct(p.alias("part"), token_estimate(p).alias("n")))
+    start = F.struct(F.lit(0).alias("parts"), F.lit(0).cast("bigint").alias("used"), F.lit(True).alias("open"))
 
-    def step(acc: Column, part: Column) -> Column:
-        fits = acc["open"] & (acc["used"] + token_estimate(part) <= max_tokens)
-        return F.struct(
-            F.when(fits, F.concat(acc["kept"], part)).otherwise(acc["kept"]).alias("kept"),
-            F.when(fits, acc["used"] + token_estimate(part)).otherwise(acc["used"]).alias("used"), fits.alias("open"),
-        )
+    def step(acc: Column, x: Column) -> Column:
+        """How many parts fit; their texts are joined once, at the end."""
+        fits = acc["open"] & (acc["used"] + x["n"] <= max_tokens)
+        return F.struct((acc["parts"] + fits.cast("int")).alias("parts"), (acc["used"] + x["n"]).alias("used"), fits.alias("open"))
 
-    kept = F.aggregate(parts, start, step)["kept"]
+    # What is used twice is bound by a lambda over an array of one, so that it is worked out once.
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    kept = once(parts, lambda ps: F.array_join(F.transform(F.slice(ps, 1, F.aggregate(ps, start, step)["parts"]), lambda x: x["part"]), ""))
     share = F.greatest(F.lit(50), F.floor(F.char_length(text) * ((max_tokens if isinstance(max_tokens, Column) else F.lit(max_tokens)).cast("double") / F.greatest(token_estimate(text), F.lit(1)))).cast("int"))
     short = F.concat(F.substring(text, F.lit(1), share), F.lit("…"))
-    return F.when(F.coalesce(text, F.lit("")) == "", "").when(token_estimate(text) <= max_tokens, text).when(kept == "", short).otherwise(F.concat(kept, F.lit(marker)))
+    return F.when(F.coalesce(text, F.lit("")) == "", "").when(token_estimate(text) <= max_tokens, text).otherwise(once(kept, lambda k: F.when(k == "", short).otherwise(F.concat(k, F.lit(marker)))))
 
 
 def bigrams(text: Column) -> Column:
