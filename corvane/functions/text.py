@@ -26,6 +26,20 @@ INJECTION_RULES = (
     (r"请?用(中文|英文)?重复(你的|上述)?(指令|提示词)", 2),
 )
 INJECTION_BLOCK = 4
+# Failures of a provider: kinds in the order in which they are looked for, names of types, words of messages, kinds worth another try.
+ERROR_KINDS = ("timeout", "rate_limited", "auth", "quota", "context_overflow", "server", "network")
+ERROR_NAMES = {
+    "timeout": ("APITimeoutError", "ReadTimeout", "ConnectTimeout", "WriteTimeout", "TimeoutException"), "rate_limited": ("RateLimitError",), "auth": ("AuthenticationError",),
+    "network": ("APIConnectionError", "ConnectionError", "ConnectError", "NetworkError", "RemoteProtocolError"),
+}
+ERROR_WORDS = {
+    "timeout": ("timeout", "timed out"), "rate_limited": ("throttling", "rate limit"), "auth": ("invalid api key",), "quota": ("arrearage", "欠费", "insufficient_quota", "quota exceeded", "额度不足"),
+    "context_overflow": ("maximum context", "too many tokens", "input length"), "network": ("connection",),
+}
+KEY_WORDS, OVERFLOW_WORDS = "invalidapikey", (("context",), ("length", "exceed", "超长", "太长"))
+RETRYABLE = ("timeout", "rate_limited", "server", "network")
+# Numbers that a person tells: height, weight, age.
+HEIGHT, WEIGHT, AGE = r"身高\s*(\d{2,3})\s*(?:cm|厘米|公分)?", r"体重\s*(\d{1,3}(?:\.\d)?)\s*(?:kg|公斤)?", r"(\d{1,3})\s*岁"
 GARBLE_MIN_CHARS, GARBLE_VALID, GARBLE_COVERAGE, GARBLE_REPEAT = 10, 0.6, 0.35, 0.3
 
 SPACES = r"[\t\n\x0B\f\r ]"
@@ -218,20 +232,14 @@ def grounding(ctx_chars: Column, n_docs: Column, max_score: Column, relevance: C
 def error_kind(name: Column, status: Column, message: Column) -> Column:
     """Kind of a provider's failure from its type name, status and message; the first rule that fits."""
     text = F.lower(F.coalesce(message, F.lit("")))
-    has = lambda *ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(text, w))
-    return (
-        F.when(name.isin("APITimeoutError", "ReadTimeout", "ConnectTimeout", "WriteTimeout", "TimeoutException") | has("timeout", "timed out"), "timeout")
-        .when((status == 429) | (name == "RateLimitError") | has("throttling", "rate limit"), "rate_limited")
-        .when((status == 401) | (name == "AuthenticationError") | has("invalid api key") | F.contains(F.replace(text, F.lit(" "), F.lit("")), F.lit("invalidapikey")), "auth")
-        .when(has("arrearage", "欠费", "insufficient_quota", "quota exceeded", "额度不足") | (status == 403), "quota")
-        .when(has("maximum context", "too many tokens", "input length") | (has("context") & has("length", "exceed", "超长", "太长")), "context_overflow")
-        .when((status >= 500) & (status < 600), "server")
-        .when(name.isin("APIConnectionError", "ConnectionError", "ConnectError", "NetworkError", "RemoteProtocolError") | has("connection"), "network")
-        .otherwise("unknown")
-    )
-
-
-RETRYABLE = ("timeout", "rate_limited", "server", "network")
+    has = lambda ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(text, w))
+    told = lambda kind: name.isin(*ERROR_NAMES[kind]) if kind in ERROR_NAMES else F.lit(False)
+    worded = lambda kind: has(ERROR_WORDS[kind]) if kind in ERROR_WORDS else F.lit(False)
+    more = {
+        "rate_limited": status == 429, "auth": (status == 401) | F.contains(F.replace(text, F.lit(" "), F.lit("")), F.lit(KEY_WORDS)), "quota": status == 403,
+        "context_overflow": has(OVERFLOW_WORDS[0]) & has(OVERFLOW_WORDS[1]), "server": (status >= 500) & (status < 600),
+    }
+    return F.coalesce(*[F.when(told(kind) | worded(kind) | more.get(kind, F.lit(False)), F.lit(kind)) for kind in ERROR_KINDS], F.lit("unknown"))
 
 
 def health_params(profile: Column, question: Column) -> Column:
@@ -241,9 +249,7 @@ def health_params(profile: Column, question: Column) -> Column:
         found = [F.regexp_extract(F.coalesce(t, F.lit("")), f"(?i){pattern}", 1) for t in (profile, question)]
         return F.coalesce(*[F.when(x != "", x).cast("double") for x in found])
 
-    return F.struct(
-        first(r"身高\s*(\d{2,3})\s*(?:cm|厘米|公分)?").alias("height"), first(r"体重\s*(\d{1,3}(?:\.\d)?)\s*(?:kg|公斤)?").alias("weight"), first(r"(\d{1,3})\s*岁").alias("age")
-    )
+    return F.struct(first(HEIGHT).alias("height"), first(WEIGHT).alias("weight"), first(AGE).alias("age"))
 
 
 def health_metrics(height: Column, weight: Column, age: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 FUSION_THRESHOLD, VECTOR_FLOOR = 0.20, 0.40
 BOOST, PENALTY = 1.5, 0.85
+#: The most queries, and bytes of them, that each task holds as a matrix.
+STATED, STATED_BYTES = 20_000, 64 << 20
 
 
 def top_k(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
@@ -92,10 +95,47 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense(queries: DataFrame, rows: DataFrame, qkey: str, key: str, k: int = 15, vector: str = "embedding") -> DataFrame:
-    """qkey, key, score (cosine) and rank of each query's k nearest rows. The queries, a stated set, meet the rows where these are."""
-    q = queries.select(qkey, F.col(vector).alias("_q"))
-    scored = rows.select(key, F.col(vector).alias("_v")).join(F.broadcast(q)) if _stated(q) else rows.select(key, F.col(vector).alias("_v")).join(q)
-    return top_k(scored.select(qkey, key, cosine(F.col("_q"), F.col("_v")).alias("score")), [qkey], [F.desc(F.round("score", 9)), F.asc(key)], k)
+    """qkey, key, score (cosine) and rank of each query's k nearest rows; what has no vector is neither found nor finds.
+
+    The queries, a stated set of at most STATED rows and STATED_BYTES, go to the tasks as one matrix, by which each batch of rows is multiplied. A task holds
+    the k best of each query and sends them on as it ends, so that what is shuffled depends on the queries and tasks, not on the rows. A larger set is joined."""
+    q = queries.select(qkey, F.col(vector).alias("_q")).filter(F.col(vector).isNotNull())
+    v = rows.select(key, F.col(vector).alias("_v")).filter("_v IS NOT NULL")
+    order = [F.desc(F.round("score", 9)), F.asc(key)]
+    asked = q.limit(STATED + 1).toArrow()
+    if not 0 < asked.num_rows <= STATED or asked.nbytes > STATED_BYTES:
+        return top_k(v.join(q).select(qkey, key, cosine(F.col("_q"), F.col("_v")).alias("score")), [qkey], order, k)
+    names = asked.column(0).to_pandas()
+    matrix = rows.sparkSession.sparkContext.broadcast(np.array(asked.column(1).to_pylist(), float))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask, nine = matrix.value, lambda x: np.floor(x * 1e9 + 0.5)  # as round() to nine decimals has it
+        size = np.sqrt((ask * ask).sum(1))
+        keys, scores = [None] * len(ask), [np.empty(0)] * len(ask)
+        for batch in batches:
+            found, have = batch[key].to_numpy(), np.array(batch["_v"].tolist(), float)
+            if not len(found):
+                continue
+            by_key = np.argsort(np.argsort(found, kind="stable"), kind="stable")
+            cos = (ask @ have.T) / (size[:, None] * np.sqrt((have * have).sum(1)) + 1e-9)
+            for n, row in enumerate(cos):
+                near = nine(row)
+                if len(near) > k:  # all as good as the k-th, then the least keys of these
+                    at = np.flatnonzero(near >= np.partition(near, -k)[-k])
+                    at = at[np.lexsort((by_key[at], -near[at]))[:k]]
+                else:
+                    at = np.arange(len(near))
+                held = found[at] if keys[n] is None else np.concatenate([keys[n], found[at]])
+                told = np.concatenate([scores[n], row[at]])
+                best = np.lexsort((held, -nine(told)))[:k]
+                keys[n], scores[n] = held[best], told[best]
+        each = [len(s) for s in scores]
+        if sum(each):
+            yield pd.DataFrame({qkey: names.repeat(each).to_numpy(), key: np.concatenate([x for x in keys if x is not None]), "score": np.concatenate(scores)})
+
+    types = dict(q.dtypes) | dict(v.dtypes)
+    found = v.mapInPandas(nearest, f"`{qkey}` {types[qkey]}, `{key}` {types[key]}, score double")
+    return top_k(found, [qkey], order, k)
 
 
 def _stated(queries: DataFrame, most: int = 20_000) -> bool:

@@ -249,3 +249,31 @@ def test_a_generator_that_answers_too_few_is_an_error(spark):
     questions = spark.createDataFrame([("a", "q")], "q string, question string")
     out = K.rerank(hits, questions, "q", "d", "question", TEMPLATE, lambda prompts: [], k=2)
     assert [(r.d, r.outcome) for r in out.orderBy("rank").collect()] == [(1, "error"), (2, "error")]
+
+
+def test_dense_search_agrees_with_brute_force_at_ties_and_without_vectors(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [[rng.choice([0.0, 3.0, 6.0]) for _ in range(3)] for _ in range(400)]
+    rows = [(f"k{(i * 7) % 400:03}", v) for i, v in enumerate(vectors)] + [("none", None)]
+    asked = [(n, vectors[n * 3]) for n in range(20)] + [(99, None)]
+    frame = spark.createDataFrame(rows, "name string, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame(asked, "q long, embedding array<float>")
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b)) + 1e-9)
+
+    want = {}
+    for n, a in asked[:-1]:
+        best = sorted(((-round(cos(a, b), 9), name) for name, b in rows[:-1]))[:6]
+        want |= {(n, r): (name, -s) for r, (s, name) in enumerate(best, 1)}
+    told = lambda: {(r.q, r.rank): (r.name, round(r.score, 9)) for r in R.dense(queries, frame, "q", "name", 6).collect()}
+    same = lambda got: got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-8 for x in want)
+    assert same(told())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert same(told())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(R, "STATED", 5)  # a larger set is joined
+    assert same(told())
+    assert R.dense(queries.limit(0), frame, "q", "name").count() == 0 == R.dense(queries, frame.limit(0), "q", "name").count()
