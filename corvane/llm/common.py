@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Words everywhere in this package: runs of anything but ASCII white space.
+#: Whether the shuffle files of a query go as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,9 +62,16 @@ def staged(stage: Callable, made: list[str]) -> Callable:
 
 
 def put(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and returns the table read from there, which cuts the lineage."""
+    """Writes df to the shared folder and returns the table read from there, which cuts the lineage.
+
+    The shuffle files of the write go as it ends: else they stay until the driver happens to collect its garbage, and add up on disk."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import is_small, put, small, table
+from corvane.llm.common import drop_table, is_small, put, small, table
 from corvane.llm.components import components
 
 #: N-grams of a chunk, and of a hash range, that a task counts at once.
@@ -363,7 +363,9 @@ def shared_enough(texts: DataFrame, n: int, percent: int, all_items: int, chunk_
     packed = texts.select("text").mapInPandas(runs, "range bigint, chunk bigint, kind int, blob binary")
     counted = packed.repartition(ranges, "range").sortWithinPartitions("range").mapInPandas(count, "chunk bigint, kind int, blob binary")
     counted = put(counted, "join-counted", "uncompressed")
-    return counted.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInPandas(enough, "_id binary").distinct()
+    able = put(counted.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInPandas(enough, "_id binary").distinct(), "join-able")
+    drop_table(counted)
+    return able
 
 
 def _search(rows: DataFrame, percent: int, of: str) -> DataFrame:
@@ -461,7 +463,9 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, block_member
     if not is_small(copies):  # chunks ask for rows in the same order should a task run twice
         alone = put(alone, "join-alone")
     items = vertices.agg(F.sum("_n")).first()[0] or 0
-    able = put(shared_enough(alone, n, percent, items, chunk_items), "join-able")
+    able = shared_enough(alone, n, percent, items, chunk_items)
+    if not is_small(copies):
+        drop_table(alone)
     wanted = vertices.join(small(able), "_id", "left_semi").select("_id", F.col("_rep.doc_id").alias("_doc"), F.col("_rep._row").alias("_of"))
     texts = docs.join(small(put(wanted, "join-wanted")), same).groupBy("_id").agg(F.first("text").alias("text"))
 
@@ -476,6 +480,7 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, block_member
 
     sets = put(texts.mapInPandas(to_sets, "_id binary, _n bigint, _grams binary, _sigs array<bigint>"), "join-sets")
     found = put(set_links(sets, percent, block_members, block_items), "join-found")
+    drop_table(sets)
     named = vertices.select("_id", "_least").join(small(found), F.col("_id") == F.col("node"), "left").withColumn("_label", F.coalesce("label", "_id"))
     least = named.groupBy("_label").agg(F.min("_least").alias("component_id"))
     names = put(named.join(least, "_label").select("_id", "component_id"), "join-names")
