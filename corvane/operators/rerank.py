@@ -5,6 +5,7 @@ candidate leaves the order of fusion; what an answer doesn't name follows in tha
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +63,16 @@ def retrieve(
         placed = fused.join(vectors.select(key, "embedding"), key)
         kept = R.semantic_dedup(placed, qkey, key, limit=similar).select(qkey, key)
         fused = fused.join(placed.select(qkey, key).join(kept, [qkey, key], "left_anti"), [qkey, key], "left_anti")
-    labelled = fused.drop("rank").join(queries.select(qkey, "query_labels"), qkey).join(rows, key)
+    labelled = rows.join(R.few(fused.drop("rank").join(queries.select(qkey, "query_labels"), qkey), queries), key)
     boosted = R.entity_boost(labelled, "query_labels", "labels").select(qkey, key, "score", "parent", "text")
     order = [F.desc(F.round("score", 9)), F.asc(key)]
-    ranked = R.top_k(boosted, [qkey], order, most)
+    ranked = R.top_k(boosted, [qkey], order, most).persist(StorageLevel.MEMORY_AND_DISK)  # read for prompts, places and parents; a query's share is bounded
     if generator is not None and template is not None:
         ranked = rerank(ranked, queries, qkey, key, "question", template, generator, k, pool)
     else:
         ranked = ranked.withColumn("outcome", F.lit("fusion"))
+    asked = ranked.select("parent").distinct()
+    parents = parents.join(R.few(asked, queries), "parent", "left_semi")
     grown = R.expand_parents(ranked, parents, qkey, key, "parent")
     out = R.top_k(grown.withColumnRenamed("rank", "_before"), [qkey], [F.asc("_before")], k)
     return out.select(qkey, key, "parent", "score", "rank", "outcome", "text")

@@ -43,7 +43,7 @@ def _near(spark: SparkSession, sf: str, k: int) -> DataFrame:
     """Each item's documents by the vector of its number."""
     e = load(spark, sf, "embeddings")
     asked = load(spark, sf, "benchmark").select("item_id").join(e.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
-    return R.dense(asked, e, "item_id", "vec_id", k).withColumnRenamed("vec_id", "doc_id").join(load(spark, sf, "documents"), "doc_id")
+    return P._hit_documents(spark, sf, R.dense(asked, e, "item_id", "vec_id", k).withColumnRenamed("vec_id", "doc_id"))
 
 
 def _labels() -> Column:
