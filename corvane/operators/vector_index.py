@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,10 +119,18 @@ def search(queries: DataFrame, root: str, qkey: str, key: str, k: int = 15, prob
     """qkey, key, score (cosine) and rank of each query's k nearest rows in the lists of its nearest centroids."""
     spark = queries.sparkSession
     manifest = {r.ivf_list: r.path for r in read_snapshot(spark, root, MANIFEST).collect()}
-    near = nearest_lists(queries.select(qkey, F.col(vector).alias("_q")), centroids(spark, root), "_q", probes)
+    near = nearest_lists(queries.select(qkey, F.col(vector).alias("_q")).filter("_q IS NOT NULL"), centroids(spark, root), "_q", probes)
     asked = near.select(qkey, "_q", F.explode("ivf_lists").alias("ivf_list"))
     lists = sorted({r[0] for r in asked.select("ivf_list").distinct().collect()} & set(manifest))
     if not lists:
         return spark.createDataFrame([], StructType([queries.schema[qkey]])).selectExpr(qkey, f"CAST(NULL AS bigint) AS {key}", "0.0D AS score", "0L AS rank")
-    rows = stored(spark, manifest, lists).select(key, "ivf_list", F.col(vector).alias("_v")).join(asked, "ivf_list")
-    return R.top_k(rows.select(qkey, key, R.cosine(F.col("_q"), F.col("_v")).alias("score")), [qkey], [F.desc(F.round("score", 9)), F.asc(key)], k)
+    rows, order = stored(spark, manifest, lists).select(key, "ivf_list", F.col(vector).alias("_v")), [F.desc(F.round("score", 9)), F.asc(key)]
+    held = near.limit(R.STATED + 1).toArrow()
+    if held.num_rows > R.STATED or held.nbytes > R.STATED_BYTES:  # not a stated set: joined
+        return R.top_k(rows.join(asked, "ivf_list").select(qkey, key, R.cosine(F.col("_q"), F.col("_v")).alias("score")), [qkey], order, k)
+    probed: dict[int, list[int]] = {}
+    for q, own in enumerate(held.column("ivf_lists").to_pylist()):
+        for n in own:
+            probed.setdefault(n, []).append(q)
+    found = R._nearest(rows, np.array(held.column("_q").to_pylist(), float), held.column(qkey).to_pandas(), dict(near.dtypes)[qkey], qkey, key, k, {n: np.array(own) for n, own in probed.items()})
+    return R.top_k(found, [qkey], order, k)
