@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.operators.retrieval import top_k
 from corvane.sources import keyed_table
 
 #: Scores of relation labels.
@@ -71,10 +72,10 @@ def list_paths(starts: DataFrame, edges: DataFrame, aliases: DataFrame, qkey: st
 
 
 def one_hop(seeds: DataFrame, edges: DataFrame, qkey: str, k: int = 15, scores: Mapping[str, float] = LABEL_SCORES) -> DataFrame:
-    """Out-edges of each query's seeds (qkey, src), best label first."""
-    hit = seeds.distinct().join(edges, "src").withColumn("score", label_score(F.coalesce("relation", "rel_type"), scores))
-    order = Window.partitionBy(qkey).orderBy(F.desc("score"), F.asc("edge_id"))
-    return hit.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+    """Out-edges of each query's seeds (qkey, src), best label first. Of a node's edges the k best are found before they meet the queries."""
+    order, once = [F.desc("score"), F.asc("edge_id")], seeds.distinct()
+    scored = edges.withColumn("score", label_score(F.coalesce("relation", "rel_type"), scores))
+    return top_k(once.join(top_k(scored, ["src"], order, k, "_first").drop("_first"), "src"), [qkey], order, k)
 
 
 def _path_order() -> Column:
@@ -118,14 +119,18 @@ def simple_paths(seeds: DataFrame, edges: DataFrame, qkey: str, depth: int, limi
     first, then by edge ids. As a path is only gone on from where it is within the quota, each hop is cut to it."""
     depth, once = max(1, min(3, depth)), seeds.distinct()
     quota = once.groupBy(qkey).agg(F.greatest(F.lit(1), F.floor(F.lit(limit) / F.count(F.lit(1)))).alias("_quota"))
-    by_seed = Window.partitionBy(qkey, "start")
-    e = edges.select(F.col("edge_id").alias("_e"), F.col("src").alias("_s"), F.col("dst").alias("_d"), F.coalesce("relation", "rel_type").alias("_l"))
+    by_seed, own = Window.partitionBy(qkey, "start"), F.lpad(F.col("edge_id").cast("string"), 20, "0")
+    # A path that has come to depth nodes at most goes on by no more than limit edges: of each node those that are first even without any depth of its neighbours.
+    near = top_k(edges.select("edge_id", "src", "dst", F.coalesce("relation", "rel_type").alias("label"), own.alias("_o")), ["src", "dst"], [F.asc("_o")], limit, "_n")
+    near = top_k(near, ["src"], [F.asc("_o")], limit * (depth + 1), "_n")
+    out_of = near.groupBy(F.col("src").alias("_s")).agg(F.array_sort(F.collect_list(F.struct("_o", "edge_id", "dst", "label"))).alias("_e"))
     none = F.array().cast("array<string>")
-    now = once.join(quota, qkey).select(qkey, "_quota", F.col("src").alias("start"), F.col("src").alias("dst"), F.array().cast(f"array<{dict(e.dtypes)['_e']}>").alias("edge_ids"), none.alias("labels"), F.array("src").alias("nodes"))
+    now = once.join(quota, qkey).select(qkey, "_quota", F.col("src").alias("start"), F.col("src").alias("dst"), F.array().cast(f"array<{dict(edges.dtypes)['edge_id']}>").alias("edge_ids"), none.alias("labels"), F.array("src").alias("nodes"))
     out = None
     for _ in range(depth):
-        step = now.join(e, F.col("dst") == F.col("_s")).filter(~F.array_contains("nodes", F.col("_d")))
-        step = step.select(qkey, "_quota", "start", F.col("_d").alias("dst"), F.concat("edge_ids", F.array("_e")).alias("edge_ids"), F.concat("labels", F.array("_l")).alias("labels"), F.concat("nodes", F.array("_d")).alias("nodes"))
+        fresh = F.filter("_e", lambda x: ~F.array_contains("nodes", x["dst"]))
+        step = now.join(out_of, F.col("dst") == F.col("_s")).withColumn("_x", F.explode(F.slice(fresh, F.lit(1), F.col("_quota").cast("int"))))
+        step = step.select(qkey, "_quota", "start", F.col("_x.dst").alias("dst"), F.concat("edge_ids", F.array("_x.edge_id")).alias("edge_ids"), F.concat("labels", F.array("_x.label")).alias("labels"), F.concat("nodes", F.array("_x.dst")).alias("nodes"))
         now = step.withColumn("_n", F.row_number().over(by_seed.orderBy(_path_order()))).filter(F.col("_n") <= F.col("_quota")).drop("_n")
         out = now if out is None else out.unionByName(now)
     out = out.withColumn("hops", F.size("edge_ids").cast("bigint"))
