@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 from corvane.functions.text import is_garbled
 
 TABLE_SEPARATOR = "\x1e"
+#: Characters of texts that a task cuts at a time; a longer text is cut by itself.
+PART_CHARS = 1_000_000
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", ". ", ", ", " ", "")
 
 
@@ -63,7 +65,7 @@ def chunks(texts: DataFrame, key: str, limit: int = 300, overlap: float = 0.15,
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name == key or f.name in keep)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for _, part in whole.groupby(whole["text"].map(lambda t: len(t or "")).cumsum() // PART_CHARS)):
             pieces = [split_text(t or "", limit, int(limit * overlap)) for t in batch["text"]]
             out = batch.drop(columns="text").loc[batch.index.repeat([len(p) for p in pieces])].reset_index(drop=True)
             yield out.assign(n=[k for p in pieces for k in range(len(p))], text=[x for p in pieces for x in p])

@@ -4,6 +4,7 @@ import itertools
 import random
 
 from corvane.operators import graph as G
+from corvane.operators import ingest as I
 from corvane.operators import retrieval as R
 
 
@@ -48,3 +49,11 @@ def test_paths_through_hubs(spark):
                 out += now
             want += [(q, start, ids) for ids, _ in sorted(out, key=lambda p: (len(p[0]), p[0]))[:quota]]
     assert sorted((r.q, r.start, tuple(r.edge_ids)) for r in found.collect()) == sorted(want)
+
+
+def test_texts_are_cut_in_parts_of_a_batch(spark, monkeypatch):
+    texts = spark.createDataFrame([(n, "word and more. " * (n % 9)) for n in range(60)] + [(99, None)], "k int, text string").coalesce(1)
+    key = lambda f: sorted(tuple(r) for r in f.collect())
+    whole = key(I.chunks(texts, "k", 10))
+    monkeypatch.setattr(I, "PART_CHARS", 100)
+    assert whole and key(I.chunks(texts, "k", 10)) == whole
