@@ -29,10 +29,11 @@ def write_file(uri: str, data: bytes) -> None:
 
 
 def map_file(uri: str) -> mmap.mmap:
-    """The file, memory-mapped; one from a remote store goes through a nameless temporary file."""
+    """The file, memory-mapped without an open file of its own, of which a worker may have fewer than a model has files; one from a remote store goes
+    through a nameless temporary file."""
     if path := _local(uri):
         with open(path, "rb") as f:
-            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
@@ -40,4 +41,4 @@ def map_file(uri: str) -> mmap.mmap:
         while chunk := source.read(1 << 24):
             f.write(chunk)
         f.flush()
-        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)

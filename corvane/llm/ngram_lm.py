@@ -22,6 +22,7 @@ model's score is 0; a null doc_id stays null; rows may repeat; an empty table gi
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -147,6 +148,16 @@ def _save(folder: str, name: str, shard: int, data: bytes) -> str:
     return path
 
 
+def _spans(keys, bounds: list[int]):
+    """Each k with keys, which ascend, from bounds[k] to below bounds[k + 1], and the slice of these."""
+    import numpy as np
+
+    cuts = np.searchsorted(keys, np.array(bounds, np.int64)).tolist()
+    for k, (a, b) in enumerate(itertools.pairwise(cuts)):
+        if a < b:
+            yield k, slice(a, b)
+
+
 class Trie:
     """What the driver knows of the levels, and the maps of a worker."""
 
@@ -178,7 +189,7 @@ class Trie:
         from corvane.llm.files import map_file
 
         if path not in _maps:
-            if len(_maps) > 4096:
+            if len(_maps) > 1 << 15:
                 _maps.clear()
             arrays, told = unpack(map_file(path))
             _maps[path] = arrays, told, {s: EliasFano(arrays, told, s) for s in sequences}
@@ -204,11 +215,10 @@ class Trie:
         """Counts of known ids, ascending or not."""
         import numpy as np
 
-        out = np.zeros(len(ids), np.int64)
-        shard = np.searchsorted(self.word_start, ids, "right") - 1
-        for k in np.unique(shard):
-            own = shard == k
-            out[own] = self.open(self.words[k][1], "hash")[0]["counts"][ids[own] - self.word_start[k]]
+        out, order = np.zeros(len(ids), np.int64), np.argsort(ids)
+        ascending = ids[order]
+        for k, own in _spans(ascending, self.word_start):
+            out[order[own]] = self.open(self.words[k][1], "hash")[0]["counts"][ascending[own] - self.word_start[k]]
         return out
 
     def log_word(self, counts):
@@ -220,90 +230,75 @@ class Trie:
         unknown = math.log10(DISCOUNT * self.types / self.tokens)
         return np.where(counts > 0, np.log10(np.maximum(counts - DISCOUNT, 0.01) / self.tokens), unknown)
 
-    def find_pairs(self, first, second):
-        """Numbers of pairs, -1 for those that aren't kept; ids of -1 are in none."""
-        import numpy as np
+    def pair_spans(self, keys):
+        """For ascending keys of pairs (first * (types + 1) + second): each shard of level 2 and the slice of its keys; -1 is in none."""
+        return _spans(keys, [self.first_word(k) * (self.types + 1) for k in range(self.shards + 1)])
 
-        key = np.where((first >= 0) & (second >= 0), first * (self.types + 1) + second, -1)
-        distinct, back = np.unique(key, return_inverse=True)
-        found = np.full(len(distinct), -1, np.int64)
-        word = distinct // (self.types + 1)
-        shard = np.where(distinct >= 0, self.shard_of_word(word), -1)
-        for k in np.unique(shard[shard >= 0]).tolist():
-            if k in self.pairs:
-                a, b = np.searchsorted(shard, k), np.searchsorted(shard, k, "right")
-                base = self.first_word(k) * (self.types + 1)
-                at = self.open(self.pairs[k][1], "next", "starts")[2]["next"].find(distinct[a:b] - base)
-                found[a:b] = np.where(at >= 0, at + self.pair_start[k], -1)
-        return found[back]
-
-    def _pair_files(self, pairs):
-        """For numbers of pairs (or -1): each level-2 shard with the mask of its own."""
-        import numpy as np
+    def triple_spans(self, keys):
+        """The same for keys of triples (pair * width + place) and level 3, whose shards are those of their pairs."""
+        return _spans(keys, [n * self.width for n in self.pair_start])
 
-        shard = np.where(pairs >= 0, np.searchsorted(self.pair_start, pairs, "right") - 1, -1)
-        for k in np.unique(shard[shard >= 0]).tolist():
-            yield k, shard == k
+    def _pairs(self, first, second):
+        """Of each pair of ids, where the first is known: its number or -1, its place among the successors of its first word, the log10 probability
+        of the second word or, where the pair isn't in the model, of the back-off to that word alone, and that to the pair as a context.
 
-    def places(self, pairs, first):
-        """Places of pairs among the successors of their first word."""
+        Pairs are looked up in order, so that a shard has a slice of them and work doesn't grow with the number of shards."""
         import numpy as np
 
-        out = np.full(len(pairs), -1, np.int64)
-        for k, own in self._pair_files(pairs):
-            starts = self.open(self.pairs[k][1], "next", "starts")[2]["starts"]
-            out[own] = pairs[own] - self.pair_start[k] - starts.access(first[own] - self.first_word(k))
-        return out
-
-    def find_triples(self, pairs, places):
-        """For each triple (pair, place of the pair that follows): its shard of level 3 and number in it, or -1."""
-        import numpy as np
-
-        out = np.full(len(pairs), -1, np.int64)
-        for k, own in self._pair_files(np.where(places >= 0, pairs, -1)):
+        key = np.where(first >= 0, first * (self.types + 1) + np.where(second >= 0, second, self.types), -1)
+        distinct, back = np.unique(key, return_inverse=True)
+        number, place, told, onward = np.full(len(distinct), -1, np.int64), np.full(len(distinct), -1, np.int64), np.zeros(len(distinct)), np.zeros(len(distinct))
+        for k, own in self.pair_spans(distinct):
+            if k not in self.pairs:
+                continue
+            arrays, _, seq = self.open(self.pairs[k][1], "next", "starts")
+            keys = distinct[own] - self.first_word(k) * (self.types + 1)
+            word, at = keys // (self.types + 1), seq["next"].find(keys)
+            hit = np.flatnonzero(at >= 0)
+            found = at[hit]
+            backed = arrays["back"][word] / -BACK_STEPS
+            backed[hit] = arrays["probs"][found] / -PROB_STEPS
+            told[own] = backed
+            hit += own.start
+            number[hit] = found + self.pair_start[k]
+            own_word = word[hit - own.start]
+            new = np.flatnonzero(np.concatenate(([True], own_word[1:] != own_word[:-1]))) if len(hit) else hit
+            place[hit] = found - np.repeat(seq["starts"].access(own_word[new]), np.diff(new, append=len(hit)))
             if k in self.triples:
-                key = (pairs[own] - self.pair_start[k]) * self.width + places[own]
-                distinct, back = np.unique(key, return_inverse=True)
-                out[own] = self.open(self.triples[k][1], "next", "starts")[2]["next"].find(distinct)[back]
-        return out
+                onward[hit] = self.open(self.triples[k][1], "next", "starts")[0]["back"][found] / -BACK_STEPS
+        return number[back], place[back], told[back], onward[back]
 
     def log_probs(self, ids, counts, first):
         """log10 probability of each token in its text, which the flags in first start."""
         import numpy as np
 
-        before, pairs, before_pairs, places, _ = self.context(ids, first)
-        out = self.log_word(counts)
-        known = np.flatnonzero(before >= 0)
-        shard = self.shard_of_word(before[known])
-        for k in np.unique(shard).tolist():
-            own = known[shard == k]
-            if k in self.pairs:
-                arrays = self.open(self.pairs[k][1], "next", "starts")[0]
-                at = pairs[own] - self.pair_start[k]
-                back = arrays["back"][before[own] - self.first_word(k)] / -BACK_STEPS
-                out[own] = np.where(pairs[own] >= 0, arrays["probs"][np.where(pairs[own] >= 0, at, 0)] / -PROB_STEPS if len(arrays["probs"]) else 0, back + out[own])
-        triples = self.find_triples(before_pairs, places)
-        for k, own in self._pair_files(before_pairs):
+        _, pairs, before_pairs, places, both, told, onward = self.context(ids, first)
+        out = np.where(pairs >= 0, told, told + self.log_word(counts))
+        hit = np.flatnonzero(both)
+        key = before_pairs[hit] * self.width + places[hit]
+        order = np.argsort(key)
+        key, hit = key[order], hit[order]
+        out = np.where(before_pairs >= 0, np.concatenate(([0.0], onward[:-1])) + out, out) if len(ids) else out
+        for k, own in self.triple_spans(key):
             if k in self.triples:
-                arrays = self.open(self.triples[k][1], "next", "starts")[0]
-                back = arrays["back"][before_pairs[own] - self.pair_start[k]] / -BACK_STEPS
-                hit = triples[own]
-                out[own] = np.where(hit >= 0, arrays["probs"][np.maximum(hit, 0)] / -PROB_STEPS if len(arrays["probs"]) else 0, back + out[own])
+                arrays, _, seq = self.open(self.triples[k][1], "next", "starts")
+                at = seq["next"].find(key[own] - self.pair_start[k] * self.width)
+                kept = at >= 0
+                out[hit[own][kept]] = arrays["probs"][at[kept]] / -PROB_STEPS
         return out
 
     def context(self, ids, first):
-        """Of each token: the id before it, the number of their pair, that of the pair before, and the place of their pair."""
+        """Of each token: the id before it, the number of their pair, that of the pair before, the place of their pair, whether both pairs are in the model,
+        and what _pairs() tells of probabilities."""
         import numpy as np
 
         before = np.concatenate(([self.start_id], ids[:-1])) if len(ids) else ids
         before = np.where(first, self.start_id if self.types else -1, before)
-        pairs = self.find_pairs(before, ids)
+        pairs, places, told, onward = self._pairs(before, ids)
         before_pairs = np.concatenate(([-1], pairs[:-1])) if len(ids) else pairs
         before_pairs = np.where(first, -1, before_pairs)
         both = (pairs >= 0) & (before_pairs >= 0)
-        places = np.full(len(ids), -1, np.int64)
-        places[both] = self.places(pairs[both], before[both])
-        return before, pairs, before_pairs, places, both
+        return before, pairs, before_pairs, places, both, told, onward
 
 
 _maps: dict = {}
@@ -377,7 +372,7 @@ def train(texts: DataFrame) -> Trie:
         import numpy as np
 
         # Every triple's pairs are kept, so only the tokens that no pair goes before are left out.
-        _, _, before_pairs, places, both = trie.context(trie.ids(tokens)[0], _flags(ends, len(tokens)))
+        _, _, before_pairs, places, both, _, _ = trie.context(trie.ids(tokens)[0], _flags(ends, len(tokens)))
         return (before_pairs[both] * trie.width + places[both]).astype(np.uint64)
 
     def triple_shard(keys):
@@ -400,11 +395,11 @@ def train(texts: DataFrame) -> Trie:
         left = np.clip(1 - mass / np.maximum(total, 1), 1e-4, 1)
         # The second word's successor at that place, and its probability after that word.
         second = seq2["next"].access(pair) % (trie.types + 1)
-        p2, where = np.zeros(len(keys)), trie.shard_of_word(second)
-        for k in np.unique(where).tolist():
-            own = where == k
+        p2, order = np.zeros(len(keys)), np.argsort(second)
+        second, place = second[order], place[order]
+        for k, own in _spans(second, [trie.first_word(k) for k in range(trie.shards + 1)]):
             arrays, _, seq = trie.open(trie.pairs[k][1], "next", "starts")
-            p2[own] = 10 ** (arrays["probs"][seq["starts"].access(second[own] - trie.first_word(k)) + place[own]] / -PROB_STEPS)
+            p2[order[own]] = 10 ** (arrays["probs"][seq["starts"].access(second[own] - trie.first_word(k)) + place[own]] / -PROB_STEPS)
         p = np.minimum(1, (counts - DISCOUNT) / total[pair] + left[pair] * p2)
         starts = np.concatenate(([0], np.cumsum(np.bincount(pair, minlength=n))))
         parts = [EliasFano.build(keys, n * trie.width, "next"), EliasFano.build(starts, len(keys) + 1, "starts")]

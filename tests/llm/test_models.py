@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import resource
 import zlib
 from collections import Counter
 
@@ -104,6 +106,29 @@ def test_language_model_keeps_what_is_seen_once(spark):
         assert abs(got[k] - score) <= 0.05 * tokens
 
 
+def test_spans_of_ascending_keys():
+    keys = np.array([-1, -1, 0, 0, 3, 9, 9, 20])
+    bounds = [0, 3, 3, 9, 30]
+    got = {k: keys[own].tolist() for k, own in ngram_lm._spans(keys, bounds)}
+    assert got == {0: [0, 0], 2: [3], 3: [9, 9, 20]}
+    assert not list(ngram_lm._spans(keys[:0], bounds)) and not list(ngram_lm._spans(keys[:2], bounds))
+
+
+def test_more_maps_than_open_files(tmp_path):
+    """A model of many shards has more files than a process may hold open."""
+    from corvane.llm.files import map_file, write_file
+
+    for k in range(60):
+        write_file(f"file://{tmp_path}/{k}", bytes([k]) * 8)
+    before = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (max(map(int, os.listdir("/proc/self/fd"))) + 20, before[1]))
+    try:
+        maps = [map_file(f"file://{tmp_path}/{k}") for k in range(60)]
+        assert [m[7] for m in maps] == list(range(60))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, before)
+
+
 def test_block_max_index_is_exact():
     draw = random.Random(5)
     for _ in range(150):
