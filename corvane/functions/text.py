@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,7 +47,7 @@ SPACES = r"[\t\n\x0B\f\r ]"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")
+    return F.btrim(text, F.lit("\t\n\x0b\f\r "))
 
 
 def token_estimate(text: Column) -> Column:
@@ -60,27 +61,49 @@ def valid_ratio(text: Column) -> Column:
     return F.when(n > 0, (n - F.char_length(F.regexp_replace(text, f"{VALID_CHARS}+", ""))) / n).otherwise(0.0)
 
 
-def repetition_ratio(text: Column) -> Column:
-    """Share of the commonest character. A count over characters has no built-in function that isn't one pass for each distinct one, so it is an Arrow one."""
+def character_counts(text: Column) -> Column:
+    """struct(valid, most): how many characters are valid ones, and how often the commonest is there. A count over characters has no built-in function that
+    isn't one pass for each distinct one, so it is an Arrow one, which counts the valid ones in the same pass."""
 
-    def commonest(texts: pd.Series) -> pd.Series:
+    def counts(texts: pd.Series) -> pd.DataFrame:
         import numpy as np
 
-        def most(points: np.ndarray) -> int:
-            high = points[points > 0xFFFF]  # characters beyond the first plane are few, and sorted
-            low = np.bincount(points[points <= 0xFFFF]).max(initial=0)
-            return int(max(low, np.unique(high, return_counts=True)[1].max() if high.size else 0))
+        valid = _valid_points()
+
+        def one(text: str | None) -> tuple[int, int]:
+            points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+            high = points[points > 0xFFFF]  # characters beyond the first plane are few, none is valid, and they are sorted
+            low = points[points <= 0xFFFF] if high.size else points
+            most = max(np.bincount(low).max(initial=0), np.unique(high, return_counts=True)[1].max(initial=0))
+            return int(np.count_nonzero(valid[low])), int(most)
+
+        return pd.DataFrame([one(t) for t in texts], columns=["valid", "most"])
+
+    return F.pandas_udf(counts, "valid int, most int")(F.coalesce(text, F.lit("")))
+
 
-        return texts.map(lambda t: most(np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)))
+@cache
+def _valid_points():
+    """Of each character of the first plane, whether it is one of VALID_CHARS."""
+    import re
 
+    import numpy as np
+
+    return np.array([re.fullmatch(VALID_CHARS, chr(c), re.ASCII) is not None for c in range(0x10000)])
+
+
+def repetition_ratio(text: Column) -> Column:
+    """Share of the commonest character."""
     n = F.char_length(text)
-    return F.when(n > 0, F.pandas_udf(commonest, IntegerType())(F.coalesce(text, F.lit(""))) / n).otherwise(0.0)
+    return F.when(n > 0, character_counts(text)["most"] / n).otherwise(0.0)
 
 
 def is_garbled(text: Column, coverage: Column | None = None) -> Column:
     """coverage: share of dictionary words among the text's words, where a vocabulary is joined."""
     t = stripped(F.coalesce(text, F.lit("")))
-    bad = (F.char_length(t) < GARBLE_MIN_CHARS) | (valid_ratio(t) < GARBLE_VALID) | (repetition_ratio(t) > GARBLE_REPEAT)
+    n, counts = F.char_length(t), character_counts(t)
+    share = lambda part: counts[part] / F.greatest(n, F.lit(1))
+    bad = (n < GARBLE_MIN_CHARS) | (share("valid") < GARBLE_VALID) | (share("most") > GARBLE_REPEAT)
     return bad | (coverage < GARBLE_COVERAGE) if coverage is not None else bad
 
 

@@ -61,3 +61,14 @@ def test_health(spark):
 
 def test_garbled(spark):
     assert one(spark, "短", T.is_garbled) and one(spark, "嗒" * 40, T.is_garbled) and not one(spark, "规律训练有助于恢复关节活动度", T.is_garbled)
+
+
+def test_stripped_ends_only_at_the_end(spark):
+    """A next-line character isn't white space here, and what comes before it isn't the end."""
+    assert one(spark, " \t\x0bx \u0085", T.stripped) == "x \u0085" and one(spark, "\n x y\r\f", T.stripped) == "x y" and one(spark, " \n", T.stripped) == ""
+
+
+def test_counts_of_characters(spark):
+    told = one(spark, "aa\u00e9\u4e00 \U0001f600\U0001f600\U0001f600", T.character_counts)
+    assert (told.valid, told.most) == (4, 3)
+    assert tuple(one(spark, "", T.character_counts)) == (0, 0)
