@@ -20,6 +20,8 @@ PLAIN_RANGES = ((0x09, 0x0D), (0x20, 0x7E), (0xA1, 0x12F), (0x131, 0x24F), (0x20
 CACHE_PIECES = 1_000_000
 #: Characters of text that are split at a time.
 CHUNK_CHARS = 500_000
+#: New pieces that go to the library as one text, a line each.
+LINES = 256
 
 
 def _classes(lower: bool) -> tuple[str, str, str]:
@@ -47,7 +49,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_pieces, self.cache = cache_pieces, {}
+        self.cache_pieces, self.cache, self.older = cache_pieces, {}, {}
         self.lower = spec.get("normalizer") is not None
         plain, letter, number = _classes(self.lower)
         space = r"\t-\r "
@@ -61,6 +63,38 @@ class Encoder:
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE if any(t["normalized"] for t in spec.get("added_tokens", [])) else 0).search
 
+        # How the ids of lines are told apart: by the ends of words, where line ends have no id, or by the line end's own id, which no other piece has.
+        suffix, line = spec["model"].get("end_of_word_suffix"), self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_id = line[0] if len(line) == 1 and not self.lower else None
+        self.word_ends = None
+        if suffix and self.lower and not line:
+            import numpy as np
+
+            self.word_ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+            self.word_ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def _lines(self, pieces: list[str]) -> list[bytes]:
+        """_raw() of pieces without white space but for a leading space, many of them in one text, as a call and its result cost the library much for each."""
+        import numpy as np
+
+        if self.line_id is None and self.word_ends is None:
+            return self._raw(pieces)
+        parts, out = [pieces[k : k + LINES] for k in range(0, len(pieces), LINES)], []
+        for part, told in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(told.ids, np.uint32)
+            if self.word_ends is not None:
+                stops = np.flatnonzero(self.word_ends[ids]) + 1
+                starts = np.concatenate(([0], stops[:-1]))
+            else:
+                at = np.flatnonzero(ids == self.line_id)
+                starts, stops = np.concatenate(([0], at + 1)), np.append(at, len(ids))
+            if len(starts) != len(part) or stops[-1:].sum() != len(ids):
+                out += self._raw(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip((4 * starts).tolist(), (4 * stops).tolist(), strict=True)]
+        return out
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -69,11 +103,18 @@ class Encoder:
         cache = self.cache
         new = {p for ps in pieces if ps is not None for p in ps if p not in cache}
         if new:
-            if len(cache) + len(new) > self.cache_pieces:
-                cache = self.cache = {}
+            if len(cache) + len(new) > self.cache_pieces // 2:  # pieces not met since the last time go
+                self.older, cache = cache, {}
+                self.cache = cache
                 new = {p for ps in pieces if ps is not None for p in ps}
-            new = list(new)
-            cache.update(zip(new, self._raw(new), strict=True))
+            older = self.older
+            known = [p for p in new if p in older]
+            cache.update(zip(known, map(older.__getitem__, known), strict=True))
+            new.difference_update(known)
+            blank = [p for p in new if p.isspace()]
+            new = list(new.difference(blank))
+            cache.update(zip(blank, self._raw(blank), strict=True))
+            cache.update(zip(new, self._lines(new), strict=True))
         get = cache.__getitem__
         return [self._raw([t])[0] if ps is None else b"".join(map(get, ps)) for t, ps in zip(texts, pieces, strict=True)]
 

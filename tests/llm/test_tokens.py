@@ -1,5 +1,6 @@
 """Encoding, wavelet files, packing and longest-match counts against the libraries and brute force."""
 
+import random
 import zlib
 
 import numpy as np
@@ -146,3 +147,25 @@ def test_token_counts(spark):
     for cache in (1, 1000):
         got = sorted(map(tuple, token_counts.token_counts(docs, path, cache).collect()), key=str)
         assert got == sorted(((i, len((t or "").encode().split()), sum(pieces(b" " + w) for w in (t or "").encode().split())) for i, t in ODD), key=str)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_new_words_go_to_the_library_together(name):
+    """Many new words are few texts to the library; their ids are those of each by itself, also after a bounded cache has let them go."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéñ'.!9 \t\n", k=rng.randint(1, 9))) for _ in range(2000)]
+    own = Encoder(FILES[name], 600)
+    library, sent = own.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kwargs):
+            sent.append(len(texts))
+            return library.encode_batch_fast(texts, **kwargs)
+
+    own.tokenizer = Counting()
+    for _ in range(2):
+        for at in range(0, 2000, 500):
+            text = " ".join(words[at : at + 500])
+            assert list(own.ids([text])) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+            assert len(own.cache) <= 600 + 1500 and len(own.older) <= 600
+    assert sum(sent) < 600
