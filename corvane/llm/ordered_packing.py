@@ -20,7 +20,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +32,8 @@ from corvane.llm.common import table
 CACHE_PIECES = 500_000
 CAPACITY = 1024
 STRIP_TOKENS = 1 << 19
+#: Tokens whose candidates are found together.
+GROUP_TOKENS = 1 << 17
 #: A sentence of more tokens may also be cut after each so many.
 GAP = 16
 SENTENCE_PENALTY, DEEP_PENALTY = 4, 8
@@ -59,57 +60,78 @@ def best_cuts(ends, penalties, capacity: int = CAPACITY) -> list[int]:
     at = np.concatenate(([0], np.asarray(ends, np.int64)))
     index = np.full(at[-1] + 1, -1, np.int64)
     index[at] = np.arange(len(at))
-    free = []  # (later, earlier) positions whose distance is a power of two
-    for length in (1 << k for k in range(capacity.bit_length())):
+    free = []  # (later, earlier) positions whose distance is a power of two, but for capacity, which takes no padding anyway
+    for length in (1 << k for k in range((capacity - 1).bit_length())):
         later = np.flatnonzero(at >= length)
         earlier = index[at[later] - length]
         free.append(np.stack((later[earlier >= 0], earlier[earlier >= 0])))
-    free = np.concatenate(free, axis=1)
+    free = np.concatenate(free or [np.zeros((2, 0), np.int64)], axis=1)
     free = free[:, np.argsort(free[0], kind="stable")]
-    later, earlier, edges, edge = [*free[0].tolist(), -1], free[1].tolist(), free.shape[1], 0
-    unit = 1 << 24  # costs in units, the number of windows below
-    place, price = at.tolist(), [0, *(p * unit for p in np.asarray(penalties).tolist())]
-    cost, origin = [0] * len(place), [0] * len(place)
-    queue = deque([(0, 0, 0)])  # (cost + position, position, index), both costs and positions ascending
-    for j in range(1, len(place)):
-        here = place[j]
-        while queue[0][1] < here - capacity:
-            queue.popleft()
-        lead, _, source = queue[0]
-        best = lead + (capacity - here) * unit
-        while later[edge] == j:
-            if cost[earlier[edge]] < best:
-                best, source = cost[earlier[edge]], earlier[edge]
+    edges, earlier = np.searchsorted(free[0], np.arange(1, len(at) + 1)).tolist(), free[1].tolist()
+    unit = float(1 << 24)  # costs in units, the number of windows below; doubles hold both as whole numbers
+    low = np.searchsorted(at, at - capacity).tolist()
+    place, room, price = (at * unit).tolist(), ((capacity - at) * unit).tolist(), [0.0, *(np.asarray(penalties) * unit + 1).tolist()]
+    n = len(place)
+    cost, lead, origin = [0.0] * n, [0.0] * n, [0] * n  # lead: cost + position
+    queue, head, tail, edge = [0] * n, 0, 0, edges[0]  # indices whose leads and positions ascend, from head to tail
+    for j in range(1, n):
+        first = low[j]
+        while queue[head] < first:
+            head += 1
+        source = queue[head]
+        best = lead[source] + room[j]
+        upto = edges[j]
+        while edge < upto:
+            i = earlier[edge]
+            if cost[i] < best:
+                best, source = cost[i], i
             edge += 1
-        cost[j], origin[j] = best + price[j] + 1, source
-        lead = cost[j] + here * unit
-        while queue and queue[-1][0] >= lead:
-            queue.pop()
-        queue.append((lead, here, j))
-    assert edge == edges
-    cuts, j = [], len(place) - 1
+        cost[j] = own = best + price[j]
+        origin[j] = source
+        lead[j] = own = own + place[j]
+        while tail >= head and lead[queue[tail]] >= own:
+            tail -= 1
+        tail += 1
+        queue[tail] = j
+    cuts = []
+    j = n - 1
     while j:
-        cuts.append(place[j])
+        cuts.append(int(at[j]))
         j = origin[j]
     return cuts[::-1]
 
 
-def candidates(ids, ends_sentence, gap: int, sentence_penalty: int, deep_penalty: int):
-    """(positions, penalties) where a document of these ids may be cut; its end, which is free, is the last."""
+def candidates(ids, ends_sentence, gap: int, sentence_penalty: int, deep_penalty: int, ends=None):
+    """(positions, penalties) where documents of these ids may be cut. ends: where each of them ends, which is free; one document without it."""
     import numpy as np
 
-    stops = np.flatnonzero(ends_sentence[ids[:-1]]) + 1
-    stops = np.append(stops[stops < len(ids)], len(ids))
+    ends = np.array([len(ids)]) if ends is None else ends
+    stop = ends_sentence[ids]
+    stop[ends - 1] = True
+    stops = np.flatnonzero(stop) + 1
     starts = np.concatenate(([0], stops[:-1]))
     more = (stops - starts - 1) // gap
     deep = np.repeat(starts, more) + gap * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
     at = np.concatenate((stops, deep))
     penalty = np.concatenate((np.full(len(stops), sentence_penalty), np.full(len(deep), deep_penalty)))
-    penalty[len(stops) - 1] = 0
+    penalty[np.searchsorted(stops, ends)] = 0
     order = np.argsort(at)
     return at[order], penalty[order]
 
 
+def grouped(docs: Iterator[tuple[int | None, bytes]], tokens: int) -> Iterator[list[tuple[int | None, bytes]]]:
+    """Documents (doc_id, ids) in their order, in lists of about so many tokens."""
+    group, n = [], 0
+    for doc in docs:
+        group.append(doc)
+        n += len(doc[1]) // 4
+        if n >= tokens:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
 class _Strip:
     """Documents, or parts of them, that are cut together."""
 
@@ -167,18 +189,22 @@ def pack_in_order(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), own.ids(batch["text"].to_pylist()), strict=True):
-                ids += end
-                at, penalties = candidates(np.frombuffer(ids, "<u4"), ends_sentence, gap, sentence_penalty, deep_penalty)
-                start, k = 0, 0
-                while k < len(at):
-                    # As much of the document as the strip has room for, up to a candidate.
-                    upto = int(np.searchsorted(at, start + strip_tokens - strip.n, "right"))
-                    if upto <= k:
-                        yield flush()
-                        continue
-                    strip.add(doc_id, ids, start, int(at[upto - 1]), at[k:upto], penalties[k:upto])
-                    start, k = int(at[upto - 1]), upto
+            told = zip(batch["doc_id"].to_pylist(), own.ids(batch["text"].to_pylist()), strict=True)
+            for docs in grouped(((doc_id, ids + end) for doc_id, ids in told), GROUP_TOKENS):
+                ends = np.cumsum([len(ids) // 4 for _, ids in docs])
+                every, penalty = candidates(np.frombuffer(b"".join(ids for _, ids in docs), "<u4"), ends_sentence, gap, sentence_penalty, deep_penalty, ends)
+                bounds = [0, *np.searchsorted(every, ends, "right").tolist()]
+                for (doc_id, ids), base, a, b in zip(docs, [0, *ends.tolist()][:-1], bounds[:-1], bounds[1:], strict=True):
+                    at, penalties = every[a:b] - base, penalty[a:b]
+                    start, k = 0, 0
+                    while k < len(at):
+                        # As much of the document as the strip has room for, up to a candidate.
+                        upto = int(np.searchsorted(at, start + strip_tokens - strip.n, "right"))
+                        if upto <= k:
+                            yield flush()
+                            continue
+                        strip.add(doc_id, ids, start, int(at[upto - 1]), at[k:upto], penalties[k:upto])
+                        start, k = int(at[upto - 1]), upto
         if strip.n:
             yield flush()
 

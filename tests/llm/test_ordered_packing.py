@@ -47,6 +47,17 @@ def test_candidates(stops, gap):
     assert dict(zip(at.tolist(), penalties.tolist(), strict=True)) == want and at.tolist() == sorted(at.tolist())
 
 
+@settings(max_examples=200, deadline=None)
+@given(docs=st.lists(st.lists(st.booleans(), min_size=1, max_size=30), min_size=1, max_size=6), gap=st.integers(1, 7))
+def test_candidates_of_many_documents(docs, gap):
+    ends = np.cumsum([len(d) for d in docs])
+    stops = np.array([x for d in docs for x in d])
+    at, penalties = ordered_packing.candidates(np.arange(len(stops)), stops, gap, 2, 9, ends)
+    own = [ordered_packing.candidates(np.arange(len(d)), np.array(d), gap, 2, 9) for d in docs]
+    assert at.tolist() == [x + e - len(d) for d, e, (a, _) in zip(docs, ends.tolist(), own, strict=True) for x in a.tolist()]
+    assert penalties.tolist() == [x for _, p in own for x in p.tolist()]
+
+
 def test_sentence_ends():
     ends = set(ordered_packing.sentence_ends(PATH))
     for text, last in (("It ends.", True), ("It ends", False), ("so!\n", True), ('he said."', True), ("a\n", True), ("a, b", False)):

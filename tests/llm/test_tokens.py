@@ -169,3 +169,35 @@ def test_new_words_go_to_the_library_together(name):
             assert list(own.ids([text])) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
             assert len(own.cache) <= 600 + 1500 and len(own.older) <= 600
     assert sum(sent) < 600
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_many_texts_at_once(name):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices([*"abreTvSlmd'  \n\t\r.,!0123é½’“ßŁ", "'s", "'re", " '", "'ll ", "\n ", "日", "<|endoftext|>"], k=rng.randint(0, 25))) for _ in range(4000)]
+    for text, ids in zip(texts, Encoder(FILES[name]).ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == PLAIN[name].encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_the_cache_is_asked_once_for_a_piece_of_a_chunk(name):
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            Asked.n += 1
+            return super().get(*a)
+
+        def __contains__(self, p):
+            Asked.n += 1
+            return super().__contains__(p)
+
+        def __getitem__(self, p):
+            Asked.n += 1
+            return super().__getitem__(p)
+
+    own = Encoder(FILES[name])
+    own.cache = Asked()
+    text = "one two, three. It's “é” 4 \n" * 500
+    assert list(own.ids([text, text])) == [np.array(PLAIN[name].encode(text, add_special_tokens=False).ids, "<u4").tobytes()] * 2
+    assert Asked.n <= 3 * 20
