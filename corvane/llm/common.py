@@ -92,6 +92,26 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+#: Large things that a Python worker keeps from task to task, by module.
+kept: list[dict] = []
+
+
+def let_go() -> None:
+    """Drops what this worker keeps for other operators, and gives unused memory back: stages of a pipeline share an executor's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for held in kept:
+        held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def is_small(df: DataFrame, megabytes: float = 8) -> bool:
     """Whether the files of df, a written table, are no larger than that."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= megabytes * 1e6

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
+from corvane.llm.common import kept
+
 #: ASCII, Latin letters and signs up to U+024F, and general punctuation, but for spaces and U+0130, whose lower case is two characters.
 PLAIN_RANGES = ((0x09, 0x0D), (0x20, 0x7E), (0xA1, 0x12F), (0x131, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E))
 CACHE_PIECES = 1_000_000
@@ -178,16 +180,16 @@ class Encoder:
         codes, data = np.frombuffer(whole.encode("utf-32-le"), "<u4"), whole.encode()
         starts = piece_starts(codes, self.lower)
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        kept = KINDS[codes[starts]] != END
+        inside = KINDS[codes[starts]] != END
         if self.lower:
-            kept &= KINDS[codes[starts]] != SPACE
-        bounds = np.concatenate(([0], np.cumsum(kept)))[np.searchsorted(starts, begins)]
+            inside &= KINDS[codes[starts]] != SPACE
+        bounds = np.concatenate(([0], np.cumsum(inside)))[np.searchsorted(starts, begins)]
         offsets = np.append(starts, len(codes))
         if len(data) > len(codes):
             widths = (codes >= 0x80).view(np.uint8) + (codes >= 0x800).view(np.uint8)
             offsets += np.concatenate(([0], np.cumsum(widths, dtype=np.int64)))[offsets]
         pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
-        coded = pieces.filter(pa.array(kept)).dictionary_encode()
+        coded = pieces.filter(pa.array(inside)).dictionary_encode()
         own = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, own), np.int32, len(own)) // 4
         at = coded.indices.to_numpy()
@@ -217,10 +219,11 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+kept.append(_encoders)
 
 
 def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
-    """The Python worker's own encoder, kept from task to task."""
+    """The Python worker's own encoder, kept from task to task until let_go()."""
     if path not in _encoders:
         _encoders[path] = Encoder(path, cache_pieces)
     return _encoders[path]

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import crc_mod, put, scratch, table
+from corvane.llm.common import crc_mod, let_go, put, scratch, table
 
 #: Examples of each class, neighbours, and how many of these are given as evidence.
 EXAMPLES, NEIGHBOURS, EVIDENCE = 2000, 15, 3
@@ -276,6 +276,7 @@ def _terms_of(rows: DataFrame) -> DataFrame:
     """id, toxic, terms and counts (as bytes) of rows (id, toxic, text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for batch in batches:
             found = list(term_counts(batch["text"].tolist()))
             yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "terms": [t.tobytes() for t, _ in found], "counts": [n.tobytes() for _, n in found]})
@@ -292,6 +293,7 @@ def document_frequencies(docs: DataFrame, dictionary: str) -> DataFrame:
         from corvane.llm.files import map_file
         from corvane.llm.wordhash import NOT_ALNUM, words
 
+        let_go()
         terms = unpack(map_file(dictionary))[0]["terms"]
         df, n = np.zeros(len(terms), np.int64), 0
         for batch in batches:
@@ -322,6 +324,7 @@ def _write_once(rows: DataFrame, path: str, made: Callable[[list[tuple]], bytes]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from corvane.llm.files import write_file
 
+        let_go()
         write_file(path, made([row for batch in batches for row in batch.itertuples(index=False, name=None)]))
         yield pd.DataFrame({"done": [True]})
 
@@ -388,6 +391,7 @@ def scorer(model: Model, spark: SparkSession, evidence: int = EVIDENCE):
     path, kind = model.save(spark), "score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>"
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        let_go()
         own = Model.load(path)
         for texts in batches:
             told = []
@@ -395,6 +399,7 @@ def scorer(model: Model, spark: SparkSession, evidence: int = EVIDENCE):
                 told += [(s, [{"doc_id": i, "toxic": y, "cosine": c} for i, y, c in near[:evidence]]) for s, near in own.scores(list(part))]
             yield pd.DataFrame(told, columns=["score", "evidence"])
         _loaded.clear()  # the file is mapped again in no time, and later stages need the memory
+        let_go()
 
     return F.pandas_udf(score, kind)
 

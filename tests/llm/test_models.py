@@ -305,3 +305,18 @@ def test_pipeline(spark):
             assert len(texts) == len(set(texts)) == len({r.text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for r in before.collect()})
     packed = p.STAGES[-1][1](spark, docs, sf)
     assert Counter(r.doc_id for r in packed.filter("piece = 0").collect()) == Counter(r.doc_id for r in docs.collect())
+
+
+def test_scoring_lets_encoders_go(spark):
+    """A worker that has packed keeps its encoder, but not while it scores: the stages share an executor's memory."""
+    import pandas as pd
+    import public_tokenizers
+
+    from corvane.llm import encode
+
+    docs = spark.createDataFrame([(k, f"word{k % 5} and more") for k in range(20)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(20)], "doc_id bigint, toxic int")
+    score = toxicity.scorer(toxicity.fit(docs, labels), spark).func
+    encode.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    told = score(iter([pd.Series(["word0 and more"])]))
+    assert len(next(told)) == 1 and not encode._encoders
