@@ -61,15 +61,16 @@ def staged(stage: Callable, made: list[str]) -> Callable:
     return run
 
 
-def put(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and returns the table read from there, which cuts the lineage.
+def put(df: DataFrame, name: str, codec: str = "zstd", by: tuple[str, ...] = ()) -> DataFrame:
+    """Writes df to the shared folder and returns the table read from there, which cuts the lineage. by: the last columns, for each of whose
+    values there is a folder.
 
     The shuffle files of the write go as it ends: else they stay until the driver happens to collect its garbage, and add up on disk."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
@@ -112,9 +113,14 @@ def let_go() -> None:
         trim(0)
 
 
+def file_bytes(df: DataFrame) -> int:
+    """The size of the files of df, a written table."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def is_small(df: DataFrame, megabytes: float = 8) -> bool:
     """Whether the files of df, a written table, are no larger than that."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= megabytes * 1e6
+    return file_bytes(df) <= megabytes * 1e6
 
 
 def small(df: DataFrame, megabytes: float = 8) -> DataFrame:

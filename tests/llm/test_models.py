@@ -290,6 +290,130 @@ def test_media(spark):
     assert media.features(media.to_media(docs.limit(0))).count() == 0
 
 
+def plain_adpcm(codes, value=0, index=0):
+    """The samples of 4-bit codes in one run."""
+    out = []
+    for byte in codes:
+        for code in (byte & 15, byte >> 4):
+            step = int(audio.STEPS[index])
+            change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            value = max(-32768, min(32767, value - change if code & 8 else value + change))
+            index = max(0, min(88, index + (-1 if code & 7 < 4 else 2 * (code & 7) - 6)))
+            out.append(value)
+    return out
+
+
+def plain_g711(codec, byte):
+    if codec == audio.MULAW:
+        byte ^= 255
+        size = ((2 * (byte & 15) + 33) << (byte >> 4 & 7)) * 4 - 132
+        return -size if byte & 128 else size
+    byte ^= 0x55
+    size = (2 * (byte & 15) + (33 if byte & 112 else 1)) * 8 << max(0, (byte >> 4 & 7) - 1)
+    return size if byte & 128 else -size
+
+
+def plain_resample(pcm, up, down, half=8):
+    """Each sample as a sum over its window, in the same 1/32768 parts."""
+    wide, n = max(1.0, down / up), len(pcm)
+    reach, out = int(half * wide), []
+    for j in range(-(-n * up // down)):
+        at, phase = divmod(j * down, up)
+        xs = [k - phase / up for k in range(-reach + 1, reach + 1)]
+        w = [(math.sin(math.pi * x / wide) / (math.pi * x / wide) if x else 1.0) * math.cos(math.pi * max(-0.5, min(0.5, x / (reach + 1)))) ** 2 for x in xs]
+        taps = [round(v / sum(w) * 32768) for v in w]
+        total = sum(t * pcm[at + k] for t, k in zip(taps, range(-reach + 1, reach + 1)) if 0 <= at + k < n)
+        out.append(max(-32768, min(32767, total + 16384 >> 15)))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 8192])
+def test_adpcm_heads(chunk):
+    draw = np.random.default_rng(2)
+    payloads = [draw.integers(0, 256, 24 * k, dtype=np.uint8).tobytes() for k in (1, 5, 2)] + [b"x" * 72, bytes([0x77]) * 72, bytes([0xFF]) * 48]
+    bodies = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 24)
+    first = np.array([k == 0 for p in payloads for k in range(len(p) // 24)])
+    heads = audio.adpcm_heads(bodies, first, chunk)
+    assert heads.tobytes() == b"".join(d[k : k + 4] for d in audio.adpcm_data(payloads, 24) for k in range(0, len(d), 28))
+    for p, d, pcm in zip(payloads, audio.adpcm_data(payloads, 24), audio.to_pcm(audio.ADPCM, 28, audio.adpcm_data(payloads, 24))):
+        assert audio.sound_codes(audio.ADPCM, 28, d) == p
+        want = plain_adpcm(p)
+        told = [v for k in range(0, len(want), 48) for v in [want[k - 1] if k else 0] + want[k : k + 48]]
+        assert pcm.tolist() == told
+
+
+def test_stored_adpcm_is_what_an_encoder_writes(spark):
+    """Heads of blocks are states, no payload bytes: an index within the table, a zero, and the sample that the block before ends with."""
+    docs = spark.createDataFrame([(k, f"zebra {k} " * (30 * k)) for k in range(1, 15)], "doc_id bigint, text string")
+    seen = 0
+    for r in media.to_media(docs).collect():
+        codec, _, block, data = audio.parse_wav(bytes(r.media))
+        if codec == audio.ADPCM:
+            last = 0
+            for k in range(0, len(data), block):
+                assert data[k + 2] <= 88 and data[k + 3] == 0 and int.from_bytes(data[k : k + 2], "little", signed=True) == last
+                last = adpcm_one(data[k : k + block])[-1]
+                seen += 1
+    assert seen > 10
+
+
+def test_short_last_block():
+    data = audio.adpcm_data([bytes(range(48))], 24)[0]
+    whole = audio.to_pcm(audio.ADPCM, 28, [data])[0].tolist()
+    assert [s.tolist() for s in audio.to_pcm(audio.ADPCM, 28, [data[:40], data[:30], data[:28]])] == [whole[: 49 + 17], whole[:49], whole[:49]]
+
+
+@pytest.mark.parametrize(("up", "down"), [(2, 1), (3, 2), (1, 3), (160, 441)])
+def test_resampling_is_the_sum_over_the_window(up, down):
+    pcm = np.random.default_rng(up).integers(-32768, 32768, 95)
+    got = audio.resample(pcm.astype(np.int16), up, down, audio.taps(up, down)).tolist()
+    want = plain_resample(pcm.tolist(), up, down)
+    assert got == want
+
+
+def test_every_rate_becomes_16_khz(spark):
+    stored = spark.createDataFrame([(r, audio.wav(audio.MULAW, b"some sound" * 50, r)) for r in (8000, 11025, 16000, 32000)], "doc_id bigint, media binary")
+    got = {r.doc_id: r for r in media.pcm(stored).collect()}
+    assert {k: (r.rate, len(r.pcm) // 2) for k, r in got.items()} == {k: (16000, -(-500 * 16000 // k)) for k in (8000, 11025, 16000, 32000)}
+    assert bytes(got[16000].pcm) == audio.MULAW_TABLE[np.frombuffer(b"some sound" * 50, np.uint8)].tobytes()
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_media_features_of_stored_pcm(spark, monkeypatch, parts):
+    """The PCM of every file is written and read back, and features are those of a plain decoder."""
+    texts = [None, "abc", *(f"some words of text {k} é" * (3 * k) for k in range(12)), "abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    written, real = {}, media.put
+
+    def spy(df, name, *rest, **named):
+        kept = real(df, name, *rest, **named)
+        if "pcm" in kept.columns:
+            assert not written.keys() & (rows := {r.doc_id: bytes(r.pcm) for r in kept.collect()}).keys()
+            written.update(rows)
+        return kept
+
+    monkeypatch.setattr(media, "put", spy)
+    got = {r.doc_id: r for r in media.features(media.to_media(docs), parts).collect()}
+    assert len(got) == len(texts) == len(written)
+    codecs = set()
+    for k, t in enumerate(texts):
+        full = (t or "").encode()
+        full += b" " * (max(192, -(-len(full) // 192) * 192) - len(full))
+        codec = ("mulaw", "alaw", "adpcm")[zlib.crc32(full) % 3]
+        codecs.add(codec)
+        pcm = [plain_g711(codec, b) for b in full]
+        if codec == "adpcm":
+            run = plain_adpcm(full)
+            pcm = [v for at in range(0, len(run), 384) for v in [run[at - 1] if at else 0] + run[at : at + 384]]
+        pcm = plain_resample(pcm, 2, 1)
+        raw = np.array(pcm, "<i2").tobytes()
+        assert written[k] == raw
+        power, crossings = sum(v * v for v in pcm) // len(pcm), sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+        assert got[k].feature == f"{codec};rate=16000;samples={len(pcm)};peak={max(map(abs, pcm))};power={power};crossings={crossings};pcm_crc32={zlib.crc32(raw)}"
+        assert (got[k].payload_sha256, got[k].n_bytes) == (hashlib.sha256(full).hexdigest(), len((t or "").encode()))
+    assert codecs == {"mulaw", "alaw", "adpcm"}
+
+
 def test_pipeline(spark):
     """Stages in turn on the smallest tables: copies and toxic documents go, and the packed rows are those of the mix."""
     import corpus_pipeline as p
