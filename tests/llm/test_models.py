@@ -358,7 +358,7 @@ def test_stored_adpcm_is_what_an_encoder_writes(spark):
 
 
 def test_short_last_block():
-    data = audio.adpcm_data([bytes(range(48))], 24)[0]
+    data = bytes(range(56))
     whole = audio.to_pcm(audio.ADPCM, 28, [data])[0].tolist()
     assert [s.tolist() for s in audio.to_pcm(audio.ADPCM, 28, [data[:40], data[:30], data[:28]])] == [whole[: 49 + 17], whole[:49], whole[:49]]
 
@@ -378,7 +378,7 @@ def test_every_rate_becomes_16_khz(spark):
     assert bytes(got[16000].pcm) == audio.MULAW_TABLE[np.frombuffer(b"some sound" * 50, np.uint8)].tobytes()
 
 
-@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("parts", [(), (3,)])
 def test_media_features_of_stored_pcm(spark, monkeypatch, parts):
     """The PCM of every file is written and read back, and features are those of a plain decoder."""
     texts = [None, "abc", *(f"some words of text {k} é" * (3 * k) for k in range(12)), "abc"]
@@ -393,7 +393,7 @@ def test_media_features_of_stored_pcm(spark, monkeypatch, parts):
         return kept
 
     monkeypatch.setattr(media, "put", spy)
-    got = {r.doc_id: r for r in media.features(media.to_media(docs), parts).collect()}
+    got = {r.doc_id: r for r in media.features(media.to_media(docs), *parts).collect()}
     assert len(got) == len(texts) == len(written)
     codecs = set()
     for k, t in enumerate(texts):
